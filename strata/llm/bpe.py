@@ -9,7 +9,6 @@ without change to earlier entries, and an edit only asks for new entries from th
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.prefix import NEVER, Merges
+from strata.llm.words import portions
 
 CACHE_PIECES = 1_000_000  # pieces of at most CACHE_BYTES whose ids a worker remembers; a full cache starts anew
 CACHE_BYTES = 48
@@ -138,42 +138,28 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>, decoded binary), a row for each row of docs.
+    """(doc_id, n_tokens, ids, decoded), a row for each row of docs.
 
-    Pieces of the pattern are encoded one by one; a piece that is a token itself gets it. Nulls
-    and empty texts have no tokens. path names a file of ranks that every executor has.
+    ids: the tokens as little-endian unsigned 32-bit integers, one after another; decoded: the
+    bytes they stand for. Pieces of the pattern are encoded one by one; a piece that is a token
+    itself gets it. Nulls and empty texts have no tokens. path names a file of ranks that every
+    executor has. Only the id and the text are read.
     """
     if path is None:
         path, pattern = default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.array(vocabulary.encode(text or ""), dtype=np.int32) for text in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-                lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends)), lists, pa.array([vocabulary.decode(x.tolist()) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        for whole in batches:
+            for batch in portions(whole, 1):
+                ids = [vocabulary.encode(text or "") for text in batch.column(1).to_pylist()]
+                packed = [np.array(x, dtype="<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary()), pa.array(map(vocabulary.decode, ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids array<int>, decoded binary")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode_documents, hashed where the ids are made."""
-    if path is None:
-        path, pattern = default_vocabulary()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = load(path, pattern)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                ids = vocabulary.encode(text or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(vocabulary.decode(ids)).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(encoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode_documents' rows."""
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

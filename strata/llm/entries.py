@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import bpe, counts, exact, mixing
+from strata.llm import bpe, counts, exact, minhash, mixing, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,13 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"))
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
+
+
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,7 +37,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_cover_anchors": op2_cover_anchors,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op6_minmax_hashing": op6_minmax_hashing,
     "op8_block_naming": op8_block_naming,
     "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
