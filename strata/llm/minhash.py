@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.graph import components
@@ -23,7 +23,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 43
 ROWS = 6
-LEAST_BANDS = 2  # pairs beyond the first round that share fewer bands aren't compared: at similarity 0.8 one in 20,000 shares fewer
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -104,14 +103,66 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("either")).where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one bucket that lie in different components of the first round.
+
+    Both nodes were compared with their bucket's hub H. Let D(A) be the symmetric difference of A
+    and H; then A and B differ by as much as D(A) and D(B) do. Linked sets differ by at most
+    share * (|A| + |B|), share = (1 - t) / (1 + t), and |B| <= |A| / t. So all but a few elements
+    of D(A) are in D(B), and the two share one among their rarest few: a prefix of D(A), in the order of how
+    many nodes of the hub have an element. Its length is the least that holds for A's partners:
+    any: share * |A| * (1 + 1/t) + 1. If one of both is not linked with H: they share (1 - share) * |D| / 2
+    elements of each D of a partner not linked (and, of one that is linked, of its own D).
+    Only nodes that meet in a prefix are compared, on D. This is exact.
+    """
+    t = percent / 100
+    share = (1 - t) / (1 + t)
+    rooted = held.join(first.withColumnRenamed("node", "nid"), "nid", "left").select("key", "hub", "nid", F.coalesce("root", "nid").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    members = rooted.join(open_keys, "key").where("nid <> hub").select("hub", "nid", "root").distinct()
+    own = sets.select("nid", F.col("elements").alias("own"))
+    hub = sets.select(F.col("nid").alias("hub"), F.col("elements").alias("theirs"))
+    both = members.join(own, "nid").join(hub, "hub")
+    apart = F.concat(F.array_except("own", "theirs"), F.array_except("theirs", "own"))
+    apart = both.select("hub", "nid", "root", F.size("own").alias("n"), F.size("theirs").alias("n_hub"), apart.alias("apart"))
+    gap = F.size("apart")
+    # |A & H| = (|A| + |H| - |D|) / 2 and |A | H| = (|A| + |H| + |D|) / 2
+    near = (F.col("n") + F.col("n_hub") - gap) * 100 >= (F.col("n") + F.col("n_hub") + gap) * percent
+    any_partner = F.floor(share * F.col("n") * (1 + 1 / t) + 1e-6) + 1
+    half = gap - F.ceil((1 - share) * gap / 2 - 1e-6) + 1
+    excess = gap - F.greatest(F.ceil((gap - share * (F.col("n") + F.col("n_hub"))) / 2 - 1e-6), F.lit(1)) + 1
+    apart = apart.withColumns({"near": near, "short": F.least(any_partner, half), "long": F.when(near, F.lit(0)).otherwise(F.least(any_partner, excess))})
+    apart = materialize(apart, "apart")
+
+    entries = apart.select("hub", "nid", "root", "n", "near", "short", "long", F.explode("apart").alias("element"))
+    often = entries.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    entries = entries.join(materialize(often, "often"), ["hub", "element"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("hub", "nid").orderBy("often", "element"))
+    entries = entries.withColumn("place", place).where((F.col("often") > 1) & (F.col("place") <= F.greatest("short", "long")))
+    entries = materialize(entries.select("hub", "element", "nid", "root", "n", "near", F.col("place") <= F.col("short"), F.col("place") <= F.col("long")).toDF("hub", "element", "nid", "root", "n", "near", "in_short", "in_long"), "prefixes")
+    a = entries.where("not near").select("hub", "element", F.col("nid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("in_short").alias("short_a"), F.col("in_long").alias("long_a"))
+    b = entries.where("in_short").select("hub", "element", F.col("nid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), "near")
+    met = a.join(b, ["hub", "element"]).where(
+        (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & F.when(F.col("near"), F.col("long_a")).otherwise(F.col("short_a") & (F.col("a") < F.col("b")))
+    )
+    met = met.select("hub", "a", "b").distinct()
+    of = lambda x: apart.select("hub", F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
+    compared = met.join(of("a"), ["hub", "a"]).join(of("b"), ["hub", "b"])
+    gap = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
+    total = F.col("n_a") + F.col("n_b")
+    return compared.select("a", "b", total.alias("total"), gap.alias("gap")).where((F.col("total") - F.col("gap")) * 100 >= (F.col("total") + F.col("gap")) * percent).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
     Rows of equal sets are one node from the start. Nodes that share a band are first compared with
     the node of their bucket that shares most bands with others; what this links is one
-    component, inside which nothing is left to find. Then pairs of nodes of different components
-    that share at least two bands and could reach the threshold by their sizes are compared, so
-    no link between components is lost and groups of copies are never expanded into pairs.
+    component, inside which nothing is left to find. Nodes of different components are then compared
+    if their differences from that node leave a link possible (see _between), so no link between
+    components is lost and groups of copies are never expanded into pairs.
 
     Texts without words (null, empty, blank) link with nothing. component_id is the smallest id
     of the component; null ids count as larger than all, and a component of only such has null.
@@ -133,13 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(_linked(stars, sets, percent), "links")
     first = components(links)
 
-    rooted = materialize(held.join(first.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "n", F.coalesce("root", "nid").alias("root")), "rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = materialize(rooted.join(open_keys, "key"), "open")
-    other = rooted.select("key", F.col("nid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    pairs = rooted.join(other, "key").where((F.col("root") < F.col("root_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent))
-    pairs = pairs.groupBy(F.col("nid").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST_BANDS).select("a", "b")
-    more = materialize(_linked(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent), "links")
+    more = materialize(_between(held.join(hubs, "key"), first, sets, percent), "links")
 
     roots = components(links.unionByName(more))
     ids = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("node", "rep", F.coalesce("root", "nid").alias("root"))
