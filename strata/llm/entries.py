@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, counts, exact, minhash, mixing, substring
+from strata.llm import bpe, counts, exact, minhash, mixing, ppm, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def fold(mod: int) -> F.Column:
+    """crc32 of the id as text, modulo mod."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score_documents(table(spark, sf_dir, "documents"), fold(10) != 0)
+    return scored.select("doc_id", F.coalesce(fold(10) == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -28,6 +38,12 @@ def op6_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
 
 
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,9 +53,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ppm_score": op1_ppm_score,
     "op2_cover_anchors": op2_cover_anchors,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_minmax_hashing": op6_minmax_hashing,
+    "op7_toxicity_cnn": op7_toxicity_cnn,
     "op8_block_naming": op8_block_naming,
     "op9_token_counts": op9_token_counts,
     "op10_source_mix": op10_source_mix,
