@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, counts, exact, minhash, mixing, ppm, substring, toxicity
+from strata.llm import bpe, counts, embed, exact, minhash, mixing, pii, ppm, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_span_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find_personal_data(docs, pii.train(docs)))
+
+
+def op4_pstable_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -55,6 +64,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ppm_score": op1_ppm_score,
     "op2_cover_anchors": op2_cover_anchors,
+    "op3_span_tagger": op3_span_tagger,
+    "op4_pstable_hashing": op4_pstable_hashing,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_minmax_hashing": op6_minmax_hashing,
     "op7_toxicity_cnn": op7_toxicity_cnn,
@@ -64,6 +75,16 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_pstable_hashing": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS length FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.9),
+r(node, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT m.vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, m.vec_id = c.component_id AS kept
+FROM embeddings m JOIN c ON c.node = m.vec_id LEFT JOIN k ON k.a = m.vec_id""",
     "op8_block_naming": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS n FROM documents),
 w AS (SELECT doc_id, sha256(n) AS text_sha256, CAST(length(t) AS BIGINT) AS n_points,

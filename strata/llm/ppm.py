@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ from strata.llm.words import LOWER, Words, bytes_of, portions, signed
 
 ORDER = 4
 BLOCK_BYTES = 32 << 20
-LEAST_BLOCKS = 24
 EDGE = 0xFF  # stands before a text and ends it; no UTF-8 text holds it
 DELTA = 0.1
 
@@ -48,42 +48,69 @@ def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     return total, begins
 
 
-def _word_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    return words.hashes(31), words.hashes(32)
+def _word_keys(words: Words) -> np.ndarray:
+    """64-bit hashes with the highest bit set, which no gram has."""
+    return words.hashes(31) | np.uint64(1 << 63)
+
+
+def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, content): consecutive documents (doc_id, text, trained) of a task, about block_bytes of text together, as one compressed Arrow stream."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for whole in batches:
+            for batch in portions(whole, 1, 1 << 20):
+                held.append(batch)
+                size += bytes_of(batch.column(1))[1][-1]
+                if size >= block_bytes:
+                    yield _row(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _row(number, held)
+
+    return docs.mapInArrow(pack, "block long, content binary")
+
+
+def _row(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in held:
+            out.write_batch(batch)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "content"])
+
+
+def _documents(content) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(content.as_buffer()) as stream:
+        yield from stream
 
 
 def _items(blocks: DataFrame) -> DataFrame:
-    """(block, a, b, n): distinct grams (b = 0) and words (two hashes) of each block, and how often training texts have them."""
+    """(block, key, n): distinct grams and words of each block, and how often training texts have them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[np.ndarray] = []
-        words: list[np.ndarray] = []
-        block = None
         for whole in batches:
-            for batch in portions(whole, 2, 4 << 20):
-                block = batch.column(0)[0].as_py() if block is None else block
-                data, offsets = bytes_of(batch.column(2))
-                data = LOWER[data]
-                trained = batch.column(3).to_numpy(zero_copy_only=False)
-                found, begins = _grams(data, offsets, ORDER)
-                grams.append(_counted(found, np.repeat(trained, np.diff(begins))))
-                held = Words(data, offsets)
-                first, second = _word_keys(held)
-                words.append(_counted(first, np.repeat(trained, np.diff(held.first)), second))
-        for parts, is_gram in ((grams, True), (words, False)):
-            rows = np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)
-            keys, at, inverse = np.unique(rows[:, 0], return_index=True, return_inverse=True)
-            n = np.bincount(inverse, weights=rows[:, 2].astype(np.float64), minlength=len(keys)).astype(np.int64)
-            second = np.zeros(len(keys), np.uint64) if is_gram else rows[at, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), signed(keys), signed(second), pa.array(n)], ["block", "a", "b", "n"])
-
-    return blocks.groupBy("block").applyInArrow(count, "block int, a long, b long, n long")
-
-
-def _counted(keys: np.ndarray, trained: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    found, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=trained.astype(np.float64), minlength=len(found)).astype(np.uint64)
-    return np.stack([found, second[at] if second is not None else np.zeros(len(found), np.uint64), n], axis=1) if len(found) else np.zeros((0, 3), np.uint64)
+            for row in range(whole.num_rows):
+                parts: list[tuple[np.ndarray, np.ndarray]] = []
+                for batch in _documents(whole.column(1)[row]):
+                    data, offsets = bytes_of(batch.column(1))
+                    data = LOWER[data]
+                    trained = batch.column(2).to_numpy(zero_copy_only=False)
+                    found, begins = _grams(data, offsets, ORDER)
+                    parts.append(_counted(found, np.repeat(trained, np.diff(begins))))
+                    held = Words(data, offsets)
+                    parts.append(_counted(_word_keys(held), np.repeat(trained, np.diff(held.first))))
+                keys, n = _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(np.full(len(keys), row))), signed(keys), pa.array(n)], ["block", "key", "n"])
+
+    return blocks.mapInArrow(count, "block long, key long, n long")
+
+
+def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their weights."""
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, np.bincount(inverse, weights=weights.astype(np.float64), minlength=len(found)).astype(np.int64)
 
 
 def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -120,62 +147,50 @@ def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id",
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
     trained: whether a row of docs is learned from. score: log10 probability of the lower-cased bytes
-    and the end under the trie. base_score: of the words and the end under smoothed word frequencies.
-    Nulls and empty texts have the end alone. Documents are dealt into blocks of about block_bytes
-    by a hash of their text and id; a block's distinct grams and words meet the corpus tables.
+    and the end under the trie. base_score: of the words and the end under smoothed word frequencies,
+    words being counted by 64-bit hashes. Nulls and empty texts have the end alone.
+
+    Documents are packed into blocks as they are read. A block's distinct grams and words are
+    counted; all blocks' counts make the corpus tables; each block then gets the values of its own.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n_blocks = max(LEAST_BLOCKS, -(-total // block_bytes))
-    place = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n_blocks)).cast("int")
-    blocks = docs.select(place.alias("block"), F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
-    ends = blocks.agg(F.count_if("trained")).first()[0]
+    blocks = materialize(_packed(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(trained, F.lit(False)).alias("trained")), block_bytes), "blocks")
+    ends = docs.where(trained).count()
 
     items = materialize(_items(blocks), "items")
-    sums = materialize(items.groupBy("a", "b").agg(F.sum("n").alias("n")), "sums")
-    words = sums.where("b <> 0")
+    sums = materialize(items.groupBy("key").agg(F.sum("n").alias("n")), "sums")
+    words = sums.where("key < 0")
     n_words, kinds = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, kinds = n_words + ends, kinds + (1 if ends else 0)
 
-    bits = code_lengths(sums.where("b = 0").select(F.col("a").alias("gram"), "n"))
-    values = materialize(bits.select(F.col("gram").alias("a"), F.lit(0).cast("long").alias("b"), F.col("bits").alias("value")).unionByName(words.select("a", "b", F.col("n").cast("double").alias("value"))), "values")
-    needed = items.select("block", "a", "b").join(values, ["a", "b"]).select("block", "a", (F.col("b") == 0).alias("gram"), "value")
-    log_rest = np.log10(n_all + DELTA * (kinds + 1)) if n_all + kinds else 0.0
-
-    def score(key, texts: Iterator[pa.RecordBatch], table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()) for b in table]
-        keys, is_gram, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-        tables = []
-        for which in (is_gram, ~is_gram):
-            order = np.argsort(keys[which])
-            tables.append((keys[which][order], value[which][order]))
-        for whole in texts:
-            for batch in portions(whole, 2):
-                data, offsets = bytes_of(batch.column(2))
-                data = LOWER[data]
-                found, begins = _grams(data, offsets, ORDER)
-                lengths = tables[0][1][np.searchsorted(tables[0][0], found)]
-                held = Words(data, offsets)
-                counts = tables[1][1][np.searchsorted(tables[1][0], _word_keys(held)[0])]
-                edges = np.cumsum([0, *(np.diff(held.first) + 1)])
-                logs, known = np.full(edges[-1], np.log10(ends + DELTA) - log_rest), np.full(edges[-1], int(ends > 0))
-                where = np.arange(len(counts)) + np.repeat(np.arange(batch.num_rows), np.diff(held.first))
-                logs[where], known[where] = np.log10(counts + DELTA) - log_rest, counts > 0
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), pa.array(np.diff(edges)), pa.array(np.add.reduceat(known, edges[:-1]).astype(np.int64)), pa.array(np.full(n, n_all, np.int64)),
-                     pa.array(np.add.reduceat(logs, edges[:-1])), pa.array(-np.add.reduceat(lengths, begins[:-1]) * np.log10(2))],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+    bits = code_lengths(sums.where("key >= 0").select(F.col("key").alias("gram"), "n"))
+    values = materialize(bits.select(F.col("gram").alias("key"), F.col("bits").alias("value")).unionByName(words.select("key", F.col("n").cast("double").alias("value"))), "values")
+    needed = items.select("block", "key").join(values, "key").select("block", "key", "value")
+    log_rest = float(np.log10(n_all + DELTA * (kinds + 1))) if n_all + kinds else 0.0
+
+    def score(blocks: pa.Table, table: pa.Table) -> pa.Table:
+        keys, values = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out = []
+        for batch in (x for content in blocks.column("content") for x in _documents(content)):
+            data, offsets = bytes_of(batch.column(1))
+            data = LOWER[data]
+            found, begins = _grams(data, offsets, ORDER)
+            lengths = values[np.searchsorted(keys, found)]
+            held = Words(data, offsets)
+            counts = values[np.searchsorted(keys, _word_keys(held))]
+            edges = np.cumsum([0, *(np.diff(held.first) + 1)])
+            logs, known = np.full(edges[-1], np.log10(ends + DELTA) - log_rest), np.full(edges[-1], int(ends > 0))
+            where = np.arange(len(counts)) + np.repeat(np.arange(batch.num_rows), np.diff(held.first))
+            logs[where], known[where] = np.log10(counts + DELTA) - log_rest, counts > 0
+            n = batch.num_rows
+            out.append(pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(edges)), pa.array(np.add.reduceat(known, edges[:-1]).astype(np.int64)), pa.array(np.full(n, n_all, np.int64)),
+                 pa.array(np.add.reduceat(logs, edges[:-1])), pa.array(-np.add.reduceat(lengths, begins[:-1]) * np.log10(2))],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            ))
+        return pa.Table.from_batches(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_whole(score), f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _whole(score):
-    """score for cogroup().applyInArrow, which passes a block's two sides as tables."""
-
-    def of(key: tuple, texts: pa.Table, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(score(key, iter(texts.to_batches()), iter(table.to_batches()))))
-
-    return of
+    return blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -21,7 +21,7 @@ from strata.llm.words import Words, bytes_of, mixed, portions
 
 BUCKETS, WIDTH_EMBEDDING, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 16
 SAMPLE_ROWS, SAMPLE_CHARS = 6000, 20_000  # labelled rows that training reads at most, and their longest text
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 8, 600, 64, 0.01  # small samples are gone over more often, for about STEPS steps
 THRESHOLD = 0.7
 PAD = 3
 PLAIN = np.arange(256, dtype=np.uint8)
@@ -107,7 +107,7 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], seed:
     model.base = float(np.log(labels.mean() / (1 - labels.mean())))
     weights = [model.embedding, *model.filters, *model.bias, model.out]
     squares = [np.full_like(w, 1e-6) for w in weights]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // max(len(train), 1))):
         for part in np.array_split(rng.permutation(train), -(-len(train) // BATCH)):
             own = np.concatenate([ids[begins[i] : begins[i + 1]] for i in part])
             starts = np.concatenate(([0], np.cumsum(begins[part + 1] - begins[part])))
@@ -153,15 +153,15 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str | None], seed:
 
 
 def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The logit, amid the gap between two rows, from which on calling rows toxic gives the best F1."""
-    if not len(labels) or not labels.any():
+    """The logit, amid the gap between two rows, from which on calling rows toxic gives the best F0.5; 0 if few rows are toxic."""
+    if labels.sum() < 10:
         return 0.0
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
-    at = int(f1.argmax())
+    worth = 1.25 * hits / (np.arange(1, len(order) + 1) + 0.25 * labels.sum())  # wrong rejections weigh more
+    at = int(worth.argmax())
     low = logits[order[at + 1]] if at + 1 < len(order) else logits[order[at]] - 2
-    return float((logits[order[at]] + low) / 2)
+    return max(-0.5, float((logits[order[at]] + low) / 2))  # never rejects what the model itself thinks fine
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
