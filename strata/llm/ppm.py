@@ -2,7 +2,7 @@
 
 The trie has a node for each context of up to ORDER bytes that occurs in training texts, with the
 counts of the bytes that follow. A byte is coded in its longest known context; one not seen there
-escapes (method C: as likely as the number of distinct bytes seen) to the context one byte shorter,
+escapes (method D: half a count of each distinct byte seen goes to escapes) to the context one byte shorter,
 where the bytes of the longer context are excluded. The trie is learned first and then used
 unchanged for each document, so a code length depends on a byte and its ORDER predecessors alone.
 
@@ -20,10 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.tables import materialize
+from strata.llm.tables import discard, materialize
 from strata.llm.words import LOWER, Words, bytes_of, portions, signed
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 32 << 20
 EDGE = 0xFF  # stands before a text and ends it; no UTF-8 text holds it
 DELTA = 0.1
@@ -75,7 +75,7 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 def _row(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         for batch in held:
             out.write_batch(batch)
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "content"])
@@ -136,11 +136,14 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
             level = level.withColumn("tail", F.col("gram").bitwiseAND((1 << 8 * k) - 1)).join(down, "tail")
             level = level.withColumns({"t": F.sum("n").over(own), "d": F.sum(seen.cast("double")).over(own), "x": F.sum(F.when(seen, F.col("n1")).otherwise(0.0)).over(own)})
             left, kinds = F.col("t1") - F.col("x"), F.col("d1") - F.col("d")
-            escape = F.when(left + kinds > 0, -F.log2(F.try_divide(kinds, left + kinds))).otherwise(0.0) + F.col("low1")
-            level = level.withColumn("low", F.when(F.col("n1") > 0, -F.log2(F.try_divide(F.col("n1"), left + kinds))).otherwise(escape))
-        below = materialize(level.select("gram", "n", "t", "d", "low"), f"level-{k}")
-    escape = F.when(F.col("t") > 0, -F.log2(F.try_divide(F.col("d"), F.col("t") + F.col("d")))).otherwise(0.0) + F.col("low")
-    return below.select("gram", F.when(F.col("n") > 0, -F.log2(F.try_divide(F.col("n"), F.col("t") + F.col("d")))).otherwise(escape).alias("bits"))
+            escape = F.when(left > 0, -F.log2(F.try_divide(kinds / 2, left))).otherwise(0.0) + F.col("low1")
+            level = level.withColumn("low", F.when(F.col("n1") > 0, -F.log2(F.try_divide(F.col("n1") - 0.5, left))).otherwise(escape))
+        above, below = below, materialize(level.select("gram", "n", "t", "d", "low"), f"level-{k}")
+        for done in (above, levels[k] if k < order else None):
+            if done is not None:
+                discard(done)
+    escape = F.when(F.col("t") > 0, -F.log2(F.try_divide(F.col("d") / 2, F.col("t")))).otherwise(0.0) + F.col("low")
+    return below.select("gram", F.when(F.col("n") > 0, -F.log2(F.try_divide(F.col("n") - 0.5, F.col("t")))).otherwise(escape).alias("bits"))
 
 
 def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -164,7 +167,7 @@ def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id",
     n_all, kinds = n_words + ends, kinds + (1 if ends else 0)
 
     bits = code_lengths(sums.where("key >= 0").select(F.col("key").alias("gram"), "n"))
-    values = materialize(bits.select(F.col("gram").alias("key"), F.col("bits").alias("value")).unionByName(words.select("key", F.col("n").cast("double").alias("value"))), "values")
+    values = materialize(bits.select(F.col("gram").alias("key"), F.col("bits").cast("float").cast("double").alias("value")).unionByName(words.select("key", F.col("n").cast("double").alias("value"))), "values")
     needed = items.select("block", "key").join(values, "key").select("block", "key", "value")
     log_rest = float(np.log10(n_all + DELTA * (kinds + 1))) if n_all + kinds else 0.0
 
