@@ -107,8 +107,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates drops, in docs' own columns."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_points").alias("_points"))
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__strata_id"), F.col("text_sha256").alias("__strata_sha"), F.col("n_points").alias("__strata_points"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"_key_sha": F.sha2(F.regexp_replace(text, SPACE, ""), 256), "_key_points": F.length(text).cast("long"), "_key_id": F.col(id_col)})
-    same = F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_sha") == F.col("_sha")) & (F.col("_key_points") == F.col("_points"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_key_id", "_key_sha", "_key_points"]).select(*docs.columns)
+    marked = docs.withColumns({"__strata_key_sha": F.sha2(F.regexp_replace(text, SPACE, ""), 256), "__strata_key_points": F.length(text).cast("long"), "__strata_key_id": F.col(id_col)})
+    same = F.col("__strata_key_id").eqNullSafe(F.col("__strata_id")) & (F.col("__strata_key_sha") == F.col("__strata_sha")) & (F.col("__strata_key_points") == F.col("__strata_points"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["__strata_key_id", "__strata_key_sha", "__strata_key_points"]).select(*docs.columns)

@@ -89,8 +89,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingl
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate(sets)))], ["node", "elements"])
 
-    ids = wanted.select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_rep")), "left_semi").select(F.col(text_col).cast("string"))
+    ids = wanted.select(F.col("rep").alias("__strata_rep")).distinct()
+    texts = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__strata_rep")), "left_semi").select(F.col(text_col).cast("string"))
     found = texts.mapInArrow(shingled, "node string, elements array<long>")
     return found.join(wanted.select("nid", "node"), "node").select("nid", "elements").dropDuplicates(["nid"])
 
@@ -198,5 +198,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that near_duplicates doesn't keep, in docs' own columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__strata_id"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__strata_id")), "left_semi")

@@ -87,8 +87,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """docs as the mix takes them: each row as many times as mix_sources says, in docs' own columns."""
     plan = mix_sources(docs, id_col, text_col, source_col, **options)
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("print").alias("_print")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    marked = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_print")))
-    share = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")  # rows that repeat one another share their copies
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), share))).select(*docs.columns)
+    plan = plan.groupBy(F.col("doc_id").alias("__strata_id"), F.col("source").alias("__strata_source"), F.col("print").alias("__strata_print")).agg(F.sum("copies").alias("__strata_copies"), F.count(F.lit(1)).alias("__strata_rows"))
+    marked = docs.withColumn("__strata_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = marked.join(plan, F.col(id_col).eqNullSafe(F.col("__strata_id")) & F.col(source_col).eqNullSafe(F.col("__strata_source")) & (F.col("__strata_key") == F.col("__strata_print")))
+    share = F.ceil(F.col("__strata_copies") / F.col("__strata_rows")).cast("int")  # rows that repeat one another share their copies
+    return joined.where("__strata_copies > 0").withColumn("__strata_copy", F.explode(F.sequence(F.lit(1), share))).select(*docs.columns)

@@ -300,7 +300,7 @@ def examples(texts: list[str], seed: int = 13, count: int = SAMPLE_SNIPPETS) ->
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Tagger:
+def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> Tagger:
     """A tagger from at most rows texts that hold a digit or @, at most 20,000 characters long, those of the smallest hash."""
     sample = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 20_000)).select(text_col, F.xxhash64(text_col).alias("h")).orderBy("h").limit(rows).collect()
     return fit(examples([r[0] for r in sample]))
