@@ -99,7 +99,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     with_b = pairs.join(sets.select(F.col("nid").alias("b"), F.col("elements").alias("set_b")), "b")
     with_both = with_b.join(sets.select(F.col("nid").alias("a"), F.col("elements").alias("set_a")), "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
+    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return with_both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("either")).where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
 
 
@@ -113,7 +113,9 @@ def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
     many nodes of the hub have an element. Its length is the least that holds for A's partners:
     any: share * |A| * (1 + 1/t) + 1. If one of both is not linked with H: they share (1 - share) * |D| / 2
     elements of each D of a partner not linked (and, of one that is linked, of its own D).
-    Only nodes that meet in a prefix are compared, on D. This is exact.
+    Only nodes that meet in a prefix are compared, on D, and only if from the element where they meet
+    on enough elements are left on either side. This is exact: the first element that linked sets
+    share passes.
     """
     t = percent / 100
     share = (1 - t) / (1 + t)
@@ -125,8 +127,8 @@ def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
     hub = sets.select(F.col("nid").alias("hub"), F.col("elements").alias("theirs"))
     both = members.join(own, "nid").join(hub, "hub")
     apart = F.concat(F.array_except("own", "theirs"), F.array_except("theirs", "own"))
-    apart = both.select("hub", "nid", "root", F.size("own").alias("n"), F.size("theirs").alias("n_hub"), apart.alias("apart"))
-    gap = F.size("apart")
+    apart = both.select("hub", "nid", "root", F.size("own").cast("long").alias("n"), F.size("theirs").cast("long").alias("n_hub"), apart.alias("apart"))
+    gap = F.size("apart").cast("long")
     # |A & H| = (|A| + |H| - |D|) / 2 and |A | H| = (|A| + |H| + |D|) / 2
     near = (F.col("n") + F.col("n_hub") - gap) * 100 >= (F.col("n") + F.col("n_hub") + gap) * percent
     any_partner = F.floor(share * F.col("n") * (1 + 1 / t) + 1e-6) + 1
@@ -135,16 +137,20 @@ def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
     apart = apart.withColumns({"near": near, "short": F.least(any_partner, half), "long": F.when(near, F.lit(0)).otherwise(F.least(any_partner, excess))})
     apart = materialize(apart, "apart")
 
-    entries = apart.select("hub", "nid", "root", "n", "near", "short", "long", F.explode("apart").alias("element"))
+    entries = apart.select("hub", "nid", "root", "n", "near", "short", "long", F.size("apart").alias("gap"), F.explode("apart").alias("element"))
     often = entries.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     entries = entries.join(materialize(often, "often"), ["hub", "element"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("hub", "nid").orderBy("often", "element"))
     entries = entries.withColumn("place", place).where((F.col("often") > 1) & (F.col("place") <= F.greatest("short", "long")))
-    entries = materialize(entries.select("hub", "element", "nid", "root", "n", "near", F.col("place") <= F.col("short"), F.col("place") <= F.col("long")).toDF("hub", "element", "nid", "root", "n", "near", "in_short", "in_long"), "prefixes")
-    a = entries.where("not near").select("hub", "element", F.col("nid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("in_short").alias("short_a"), F.col("in_long").alias("long_a"))
-    b = entries.where("in_short").select("hub", "element", F.col("nid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), "near")
+    rest = F.col("gap") - F.col("place") + 1
+    entries = entries.withColumns({"in_short": F.col("place") <= F.col("short"), "in_long": F.col("place") <= F.col("long"), "rest": rest})
+    entries = materialize(entries.select("hub", "element", "nid", "root", "n", "near", "gap", "in_short", "in_long", "rest"), "prefixes")
+    a = entries.where("not near").select("hub", "element", F.col("nid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("gap").alias("gap_a"), F.col("rest").alias("rest_a"), F.col("in_short").alias("short_a"), F.col("in_long").alias("long_a"))
+    b = entries.where("in_short").select("hub", "element", F.col("nid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("gap").alias("gap_b"), F.col("rest").alias("rest_b"), "near")
+    common = (F.col("gap_a") + F.col("gap_b") - share * (F.col("n_a") + F.col("n_b"))) / 2 - 1e-6  # what linked sets share at least
     met = a.join(b, ["hub", "element"]).where(
         (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        & (F.least("rest_a", "rest_b") >= common)
         & F.when(F.col("near"), F.col("long_a")).otherwise(F.col("short_a") & (F.col("a") < F.col("b")))
     )
     met = met.select("hub", "a", "b").distinct()
