@@ -302,8 +302,12 @@ def examples(texts: list[str], seed: int = 13, count: int = SAMPLE_SNIPPETS) ->
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> Tagger:
     """A tagger from at most rows texts that hold a digit or @, at most 20,000 characters long, those of the smallest hash."""
-    sample = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 20_000)).select(text_col, F.xxhash64(text_col).alias("h")).orderBy("h").limit(rows).collect()
-    return fit(examples([r[0] for r in sample]))
+    marked = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 20_000)).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    lowest = marked.select("h").distinct().orderBy("h").limit(rows).collect()  # hashes alone: each task sends its lowest
+    if not lowest:
+        return fit(examples([]))
+    sample = marked.where(F.col("h") <= lowest[-1]["h"]).dropDuplicates(["h"]).collect()
+    return fit(examples([r["text"] for r in sorted(sample, key=lambda r: r["h"])]))
 
 
 def find_personal_data(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
