@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strata.llm.tables import discard, materialize
 from strata.llm.words import LOWER, Words, bytes_of, portions, signed
 
-ORDER = 4
+ORDER = 5
 BLOCK_BYTES = 32 << 20
 EDGE = 0xFF  # stands before a text and ends it; no UTF-8 text holds it
 DELTA = 0.1
