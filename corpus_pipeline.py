@@ -38,9 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, packed, with their digests."""
-    encoded = bpe.encode_documents(docs)
-    return encoded.select("doc_id", "n_tokens", "ids")
+    """Token ids of each text, packed, and the bytes that they decode to."""
+    return bpe.encode_documents(docs).select("doc_id", "n_tokens", "ids", "decoded")
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mix", mix), ("encode", encode)]
