@@ -7,7 +7,39 @@ token under which no merge crosses the border to the token before it. Only one t
 from __future__ import annotations
 
 NEVER = 1 << 60
-CACHE_PAIRS = 2_000_000
+PAIR_BYTES = 20 << 20  # about what a generation of remembered pairs of tokens may take
+PAIR_COST = 100
+
+
+class Recent:
+    """What a worker remembers, in two generations of at most limit bytes each: a full one becomes the old one, whose entries come back as they are used.
+
+    new is always the same dictionary, so a loop may hold on to its get.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+        self.limit, self.cost = limit, 0
+
+    def older(self, key, cost: int):
+        """The value of a key that new lacks, or None."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found, cost)
+        return found
+
+    def put(self, key, value, cost: int) -> None:
+        if self.cost + cost > self.limit:
+            self.old = self.new.copy()
+            self.new.clear()
+            self.cost = 0
+        self.new[key] = value
+        self.cost += cost
+
+    def clear(self) -> None:
+        self.new.clear()
+        self.old, self.cost = {}, 0
 
 
 class Merges:
@@ -15,29 +47,21 @@ class Merges:
 
     def __init__(self, names: dict[int, str | bytes], left: list[int], right: list[int]):
         self.names, self.left, self.right = names, left, right
-        self.known: dict[int, bool] = {}
-        self.tails: dict[str | bytes, list[int]] = {}
+        self.known = Recent(PAIR_BYTES)
 
     def merged(self, a: int, b: int) -> int:
         """The token that a and b merge into, or NEVER."""
         raise NotImplementedError
 
-    def add_tails(self, token: str | bytes) -> None:
-        """Note that some token of this length, three or more, ends in these three units."""
-        if len(token) > 2:
-            lengths = self.tails.setdefault(token[-3:], [2, 1])
-            if len(token) not in lengths:
-                lengths.append(len(token))
-                lengths.sort(reverse=True)
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether a followed by b stays as it is: undo their merges, latest first, and look for an earlier one across the border."""
         key = a << 20 | b
-        found = self.known.get(key)
+        found = self.known.new.get(key)
+        if found is None:
+            found = self.known.older(key, PAIR_COST)
         if found is None:
-            if len(self.known) >= CACHE_PAIRS:
-                self.known.clear()
-            found = self.known[key] = self._compatible(a, b)
+            found = self._compatible(a, b)
+            self.known.put(key, found, PAIR_COST)
         return found
 
     def _compatible(self, a: int, b: int) -> bool:

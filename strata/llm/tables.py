@@ -7,13 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT_BYTES = 128 << 20  # what a scan gives a task by default
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, notebooks) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one is set on one machine; on a cluster, whose executors couldn't read that, it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="strata-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
@@ -32,6 +36,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if they come from fewer files than there are cores and are small enough to be dealt out cheaply."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(rows.inputFiles()) < cores:
+        return rows
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no later step reads."""
     spark = df.sparkSession

@@ -6,7 +6,8 @@ are computed a segment of bytes at a time, so scratch memory doesn't grow with a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -122,5 +123,15 @@ def portions(batch: pa.RecordBatch, column: int, size: int = SEGMENT) -> Iterato
         at = until
 
 
+@contextmanager
+def released(forget: Callable[[], None] = lambda: None) -> Iterator[None]:
+    """At the end of a task: forget what only it needed, and give Arrow's idle memory back, since the worker lives on."""
+    try:
+        yield
+    finally:
+        forget()
+        pa.default_memory_pool().release_unused()
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
