@@ -21,36 +21,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.tables import discard, materialize
-from strata.llm.words import LOWER, Words, bytes_of, portions, signed
+from strata.llm.words import LOWER, SEGMENT, Words, bytes_of, portions, released, signed
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+SORTED = 4 << 20  # keys that are sorted at once
 EDGE = 0xFF  # stands before a text and ends it; no UTF-8 text holds it
 DELTA = 0.1
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The last order + 1 bytes up to each byte and each end, packed, and where each text's begin, the end last."""
-    n = len(offsets) - 1
-    begins = offsets + np.arange(n + 1)
-    padded = np.full(begins[-1] + order, EDGE, np.uint8)
-    where = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets)) + order
-    padded[where] = data
-    # each text is followed by its end, which stands before the next text as the only edge there
-    total = np.zeros(begins[-1], np.uint64)
-    since = np.arange(begins[-1]) - np.repeat(begins[:-1], np.diff(begins))
-    for j in range(order + 1):
-        back = order - j
-        letter = padded[j : j + len(total)].astype(np.uint64)
-        if back:
-            letter[since < back] = EDGE
-        total = total << np.uint64(8) | letter
-    return total, begins
+class Stream:
+    """The lower-cased bytes of texts with an end after each, read a segment at a time: the last order + 1 bytes up to each, packed."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int):
+        self.order, count = order, len(offsets) - 1
+        self.begins = offsets + np.arange(count + 1)  # where each text's bytes and end begin, the end last
+        self.padded = np.full(self.begins[-1] + order, EDGE, np.uint8)
+        for i in range(count):
+            self.padded[self.begins[i] + order : self.begins[i + 1] + order - 1] = data[offsets[i] : offsets[i + 1]]
+
+    def segments(self, size: int = SEGMENT) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(grams, first text, where each text begins in the segment): a text longer than a segment is in several."""
+        for low in range(0, int(self.begins[-1]), size):
+            high = min(low + size, int(self.begins[-1]))
+            first, last = np.searchsorted(self.begins, [low, high - 1], "right") - 1
+            starts = np.maximum(self.begins[first : last + 1], low) - low
+            total = np.zeros(high - low, np.uint64)
+            since = np.arange(low, high) - np.repeat(self.begins[first : last + 1], np.diff(starts, append=high - low))
+            for j in range(self.order + 1):
+                back = self.order - j
+                letter = self.padded[low + j : high + j].astype(np.uint64)
+                if back:  # the end of the text before stands there; what comes before it counts as edge
+                    letter[since < back] = EDGE
+                total = total << np.uint64(8) | letter
+            yield total, int(first), starts
+
+
+WORD = np.uint64(1 << 63)  # marks the key of a word; no gram has this bit
 
 
 def _word_keys(words: Words) -> np.ndarray:
-    """64-bit hashes with the highest bit set, which no gram has."""
-    return words.hashes(31) | np.uint64(1 << 63)
+    """63-bit hashes."""
+    return words.hashes(31) >> np.uint64(1)
 
 
 def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -86,31 +99,91 @@ def _documents(content) -> Iterator[pa.RecordBatch]:
         yield from stream
 
 
+class Counted:
+    """Distinct keys of a block and how many of each are of training texts; keys are below 2 ** 63."""
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.size = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, trained: np.ndarray) -> None:
+        self.held.append(keys << np.uint64(1) | trained.astype(np.uint64))
+        self.size += len(keys)
+        if self.size >= SORTED:
+            self._turn()
+
+    def _turn(self) -> None:
+        """Sort what is held, which is far faster than finding the order of it, and keep distinct keys and counts."""
+        marked = np.concatenate(self.held)
+        self.held, self.size = [], 0
+        marked.sort()
+        at = np.flatnonzero(np.concatenate(([True], marked[1:] >> np.uint64(1) != marked[:-1] >> np.uint64(1)))[: len(marked)])
+        trained = np.concatenate(([0], np.cumsum(marked & np.uint64(1), dtype=np.int64)))
+        ends = np.append(at[1:], len(marked))
+        self.parts.append((marked[at] >> np.uint64(1), trained[ends] - trained[at]))
+        if len(self.parts) > 4:
+            self.parts = [self._merged()]
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) == 1:
+            return self.parts[0]
+        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        found, inverse = np.unique(keys, return_inverse=True)
+        return found, np.bincount(inverse, weights=n, minlength=len(found)).astype(np.int64)
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held or not self.parts:
+            self.held.append(np.zeros(0, np.uint64))
+            self._turn()
+        return self._merged()
+
+
 def _items(blocks: DataFrame) -> DataFrame:
-    """(block, key, n): distinct grams and words of each block, and how often training texts have them."""
+    """(block, key, n): distinct grams and words of each block, and how often training texts have them. Words have negative keys."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for row in range(whole.num_rows):
-                parts: list[tuple[np.ndarray, np.ndarray]] = []
-                for batch in _documents(whole.column(1)[row]):
-                    data, offsets = bytes_of(batch.column(1))
-                    data = LOWER[data]
-                    trained = batch.column(2).to_numpy(zero_copy_only=False)
-                    found, begins = _grams(data, offsets, ORDER)
-                    parts.append(_counted(found, np.repeat(trained, np.diff(begins))))
-                    held = Words(data, offsets)
-                    parts.append(_counted(_word_keys(held), np.repeat(trained, np.diff(held.first))))
-                keys, n = _counted(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-                yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(np.full(len(keys), row))), signed(keys), pa.array(n)], ["block", "key", "n"])
+        with released():
+            for whole in batches:
+                for row in range(whole.num_rows):
+                    grams, names = Counted(), Counted()
+                    for batch in _documents(whole.column(1)[row]):
+                        data, offsets = bytes_of(batch.column(1))
+                        data = LOWER[data]
+                        trained = batch.column(2).to_numpy(zero_copy_only=False)
+                        for found, first, starts in Stream(data, offsets, ORDER).segments():
+                            grams.add(found, np.repeat(trained[first : first + len(starts)], np.diff(starts, append=len(found))))
+                        held = Words(data, offsets)
+                        names.add(_word_keys(held), np.repeat(trained, np.diff(held.first)))
+                    for counted, mark in ((grams, np.uint64(0)), (names, WORD)):
+                        keys, n = counted.result()
+                        for at in range(0, len(keys), 1 << 16):
+                            part = signed(keys[at : at + (1 << 16)] | mark)
+                            yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(np.full(len(part), row))), part, pa.array(n[at : at + (1 << 16)])], ["block", "key", "n"])
 
     return blocks.mapInArrow(count, "block long, key long, n long")
 
 
-def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their weights."""
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, np.bincount(inverse, weights=weights.astype(np.float64), minlength=len(found)).astype(np.int64)
+class Values:
+    """The value of each key of a block. Keys are spread by an odd factor, so that their first bits lead to them at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = keys * SPREAD
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Values of keys that are all there."""
+        wanted = wanted * SPREAD
+        at = self.starts[(wanted >> self.shift).view(np.int64)]
+        further = np.flatnonzero(self.keys[at] != wanted)
+        while len(further):
+            at[further] += 1
+            further = further[self.keys[at[further]] != wanted[further]]
+        return self.values[at]
 
 
 def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -149,16 +222,21 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
 def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
 
-    trained: whether a row of docs is learned from. score: log10 probability of the lower-cased bytes
-    and the end under the trie. base_score: of the words and the end under smoothed word frequencies,
-    words being counted by 64-bit hashes. Nulls and empty texts have the end alone.
+    trained: whether a row of docs is learned from; null is no. score: log10 probability of the lower-cased bytes
+    and the end under the trie. base_score: of the words and the end under smoothed word frequencies.
+    Words are counted by 63-bit hashes, so n_known and base_score are exact unless two words share one; the
+    code length of a byte is rounded to single precision before lengths are summed.
+
+    Nulls and empty texts have the end alone. Rows are scored one by one: null and repeated ids are carried
+    through, and each row learned from counts. An empty table gives an empty result. Other columns aren't read.
 
     Documents are packed into blocks as they are read. A block's distinct grams and words are
     counted; all blocks' counts make the corpus tables; each block then gets the values of its own.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    blocks = materialize(_packed(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(trained, F.lit(False)).alias("trained")), block_bytes), "blocks")
-    ends = docs.where(trained).count()
+    chosen = F.coalesce(trained, F.lit(False))
+    blocks = materialize(_packed(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), chosen.alias("trained")), block_bytes), "blocks")
+    ends = docs.where(chosen).count()
 
     items = materialize(_items(blocks), "items")
     sums = materialize(items.groupBy("key").agg(F.sum("n").alias("n")), "sums")
@@ -167,33 +245,37 @@ def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id",
     n_all, kinds = n_words + ends, kinds + (1 if ends else 0)
 
     bits = code_lengths(sums.where("key >= 0").select(F.col("key").alias("gram"), "n"))
-    values = materialize(bits.select(F.col("gram").alias("key"), F.col("bits").cast("float").cast("double").alias("value")).unionByName(words.select("key", F.col("n").cast("double").alias("value"))), "values")
+    values = bits.select(F.col("gram").alias("key"), F.col("bits").cast("float").cast("double").alias("value"))
+    values = materialize(values.unionByName(words.select("key", F.col("n").cast("double").alias("value"))), "values")
     needed = items.select("block", "key").join(values, "key").select("block", "key", "value")
     log_rest = float(np.log10(n_all + DELTA * (kinds + 1))) if n_all + kinds else 0.0
 
+    def scored(batch: pa.RecordBatch, found: Values) -> pa.RecordBatch:
+        data, offsets = bytes_of(batch.column(1))
+        data, n = LOWER[data], batch.num_rows
+        lengths = np.zeros(n)
+        for grams, first, starts in Stream(data, offsets, ORDER).segments():
+            lengths[first : first + len(starts)] += np.add.reduceat(found.of(grams), starts)
+        held = Words(data, offsets)
+        counts = found.of(_word_keys(held) | WORD)
+        edges = np.cumsum([0, *(np.diff(held.first) + 1)])
+        logs, known = np.full(edges[-1], np.log10(ends + DELTA) - log_rest), np.full(edges[-1], int(ends > 0))
+        where = np.arange(len(counts)) + np.repeat(np.arange(n), np.diff(held.first))
+        logs[where], known[where] = np.log10(counts + DELTA) - log_rest, counts > 0
+        base, n_known = np.add.reduceat(logs, edges[:-1]), np.add.reduceat(known, edges[:-1]).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.diff(edges)), pa.array(n_known), pa.array(np.full(n, n_all, np.int64)), pa.array(base), pa.array(-lengths * np.log10(2))],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
     def score(blocks: pa.Table, table: pa.Table) -> pa.Table:
-        keys, values = table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        out = []
-        for batch in (x for content in blocks.column("content") for x in _documents(content)):
-            data, offsets = bytes_of(batch.column(1))
-            data = LOWER[data]
-            found, begins = _grams(data, offsets, ORDER)
-            lengths = values[np.searchsorted(keys, found)]
-            held = Words(data, offsets)
-            counts = values[np.searchsorted(keys, _word_keys(held))]
-            edges = np.cumsum([0, *(np.diff(held.first) + 1)])
-            logs, known = np.full(edges[-1], np.log10(ends + DELTA) - log_rest), np.full(edges[-1], int(ends > 0))
-            where = np.arange(len(counts)) + np.repeat(np.arange(batch.num_rows), np.diff(held.first))
-            logs[where], known[where] = np.log10(counts + DELTA) - log_rest, counts > 0
-            n = batch.num_rows
-            out.append(pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(edges)), pa.array(np.add.reduceat(known, edges[:-1]).astype(np.int64)), pa.array(np.full(n, n_all, np.int64)),
-                 pa.array(np.add.reduceat(logs, edges[:-1])), pa.array(-np.add.reduceat(lengths, begins[:-1]) * np.log10(2))],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            ))
-        return pa.Table.from_batches(out)
+        with released():
+            found = Values(table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy())
+            return pa.Table.from_batches([scored(x, found) for content in blocks.column("content") for x in _documents(content)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shape = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    result = materialize(blocks.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(score, shape), "scores")
+    for done in (blocks, items, sums, values):
+        discard(done)
+    return result
