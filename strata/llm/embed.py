@@ -1,13 +1,18 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing.
 
-Vectors are scaled to length 1. In each of several tables, PROJECTIONS random Gaussian projections
-are shifted, cut into cells of width CELL and joined into a bucket key; vectors that share a bucket
-of any table are compared by exact cosine. At cosine 0.9 two vectors (distance 0.447) share a
-projection's cell with probability 0.86, and some table's bucket with 0.99 or more.
+Vectors are scaled to length 1. In each of several tables, random Gaussian projections are shifted,
+cut into cells of width CELL and joined into a bucket key; vectors that share a bucket of any table
+are compared by exact cosine. How many projections and tables there are follows from the number of
+vectors: a bucket holds about FILL unrelated ones at any size, and a pair at the threshold is missed by all
+tables with probability MISS.
+
+Pairs are never rows: a pair counts in the first table whose bucket it shares, so each comparison
+of a bucket gives the number of links of its vectors, and a forest of links that connects what they connect.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.graph import components
-from strata.llm.tables import materialize
-from strata.llm.words import mixed, signed
+from strata.llm.tables import discard, materialize
+from strata.llm.words import mixed, released
 
 THRESHOLD = 0.9
-CELL, PROJECTIONS, TABLES = 2.5, 14, 48
-ROUNDING = 1e-4  # beyond what single precision can err
-TILE = 256  # vectors of a bucket that one comparison holds on either side
+CELL, FILL, MISS = 2.5, 20, 0.002
+TILE = 1024  # vectors of a bucket that one comparison holds on either side
+HELD = 1 << 20  # counts that a task holds before it adds them up
+
+
+def cell_share(distance: float, cell: float) -> float:
+    """The probability that two vectors at a distance share a projection's cell."""
+    r = cell / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def projections_and_tables(n: int, threshold: float = THRESHOLD, cell: float = CELL, fill: float = FILL, miss: float = MISS) -> tuple[int, int]:
+    """How many projections a key joins, and how many tables there are, for n vectors."""
+    near, far = cell_share(math.sqrt(2 - 2 * threshold), cell), cell_share(math.sqrt(2), cell)
+    projections = max(1, math.ceil(math.log(max(n, fill) / fill) / -math.log(far)))
+    return projections, math.ceil(math.log(miss) / math.log(1 - near**projections))
 
 
 def _vectors(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -41,93 +59,176 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum())
 
 
-def hash_vectors(vectors: DataFrame, vector_col: str = "embedding", cell: float = CELL, projections: int = PROJECTIONS, tables: int = TABLES, seed: int = 17) -> DataFrame:
-    """(nid, unit array<double>, keys array<long>) of (nid, vector): the usable ones, scaled and hashed."""
+def hash_vectors(vectors: DataFrame, vector_col: str, projections: int, tables: int, cell: float = CELL, seed: int = 17) -> DataFrame:
+    """(nid, unit array<double>, keys array<int>) of (nid, vector): the usable ones, scaled and hashed."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                usable, found = _vectors(batch, 1)
-                for size in sorted({len(v) for v in found}):
-                    if size not in drawn:
-                        rng = np.random.default_rng([seed, size])
-                        drawn[size] = rng.normal(size=(size, tables * projections)), rng.uniform(0, cell, tables * projections)
-                    of = [k for k, v in enumerate(found) if len(v) == size]
-                    unit = np.stack([_unit(found[k]) for k in of])
-                    cells = np.floor((unit @ drawn[size][0] + drawn[size][1]) / cell).astype(np.int64).view(np.uint64).reshape(len(of), tables, projections)
-                    keys = np.full((len(of), tables), size, np.uint64) + np.arange(tables, dtype=np.uint64) * np.uint64(1 << 20)
-                    for j in range(projections):
-                        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j])
-                    lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * n), x)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(usable[of])), lists(pa.array(unit.ravel()), size), lists(signed(keys.ravel()), tables)], ["nid", "unit", "keys"])
-
-    return vectors.select("nid", vector_col).mapInArrow(sign, "nid long, unit array<double>, keys array<long>")
-
-
-def _near(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sure), a < b, from rows of two tiles of ids and single-precision vectors: pairs whose cosine reaches threshold but for rounding; sure: by more than that."""
+        with released():
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    usable, found = _vectors(batch, 1)
+                    for size in sorted({len(v) for v in found}):
+                        if size not in drawn:
+                            rng = np.random.default_rng([seed, size])
+                            drawn[size] = rng.normal(size=(size, tables * projections)), rng.uniform(0, cell, tables * projections)
+                        of = [k for k, v in enumerate(found) if len(v) == size]
+                        unit = np.stack([_unit(found[k]) for k in of])
+                        cells = np.floor((unit @ drawn[size][0] + drawn[size][1]) / cell).astype(np.int64).view(np.uint64).reshape(len(of), tables, projections)
+                        keys = np.full((len(of), tables), size, np.uint64)
+                        for j in range(projections):
+                            keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j])
+                        keys = (keys >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        columns = [batch.column(0).take(pa.array(usable[of])), _lists(unit, size), _lists(keys, tables)]
+                        yield pa.RecordBatch.from_arrays(columns, ["nid", "unit", "keys"])
+
+    return vectors.select("nid", vector_col).mapInArrow(sign, "nid long, unit array<double>, keys array<int>")
+
+
+def _lists(rows: np.ndarray, width: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
+
+
+def _forest(at: np.ndarray, bt: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest that the links at - bt lead to."""
+    low = np.arange(n)
+    while True:
+        ends = np.minimum(low[at], low[bt])
+        new = low.copy()
+        for x in (at, bt, low[at], low[bt]):
+            np.minimum.at(new, x, ends)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+class _Side:
+    """The vectors of a tile: ids, how many rows each stands for, single-precision units and keys."""
+
+    def __init__(self, members: pa.StructArray):
+        self.ids, self.weights = (members.field(i).to_numpy() for i in (0, 1))
+        self.units, self.keys = (members.field(i).flatten().to_numpy().reshape(len(self.ids), -1) for i in (2, 3))
+
+
+def _compared(tiles: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b, n) from (place, left, right): links of a tile with another or, where right is null, inside it.
+
+    n > 0: vector a has links to n rows, in sum over all rows of a. n = 0: a link, of a forest that connects
+    what links connect. n = -1: a pair too near the threshold for single precision.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, units = [], []
-                for c in (0, 2):
-                    ids.append(batch.column(c)[i].values.to_numpy())
-                    units.append(batch.column(c + 1)[i].values.flatten().to_numpy().reshape(len(ids[-1]), -1))
-                cosines = units[0] @ units[1].T
-                at, bt = np.nonzero(cosines >= threshold - ROUNDING)
-                a, b, sure = ids[0][at], ids[1][bt], cosines[at, bt] >= threshold + ROUNDING
-                once = a < b if ids[0][0] == ids[1][0] else a != b
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[once]), pa.array(np.maximum(a, b)[once]), pa.array(sure[once])], ["a", "b", "sure"])
-
-    return tiles.mapInArrow(compare, "a long, b long, sure boolean")
-
-
-def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE, **hashing) -> DataFrame:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        with released():
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    place, inside = batch.column(0)[i].as_py(), not batch.column(2)[i].is_valid
+                    a = _Side(batch.column(1)[i].values)
+                    b = a if inside else _Side(batch.column(2)[i].values)
+                    cosines = a.units @ b.units.T
+                    rounding = (a.units.shape[1] + 4) * 2.0**-23
+                    at, bt = np.nonzero(cosines >= threshold - rounding)
+                    if inside:
+                        at, bt = at[at < bt], bt[at < bt]
+                    for table in range(place):  # pairs that share an earlier bucket count there
+                        apart = a.keys[at, table] != b.keys[bt, table]
+                        at, bt = at[apart], bt[apart]
+                        if not len(at):
+                            break
+                    if not len(at):
+                        continue
+                    sure = cosines[at, bt] >= threshold + rounding
+                    if not sure.all():
+                        yield _row(a.ids[at[~sure]], b.ids[bt[~sure]], -1)
+                        at, bt = at[sure], bt[sure]
+                    held += [(a.ids, np.bincount(at, b.weights[bt], len(a.ids))), (b.ids, np.bincount(bt, a.weights[at], len(b.ids)))]
+                    size += len(a.ids) + len(b.ids)
+                    ids = a.ids if inside else np.concatenate([a.ids, b.ids])
+                    low = _forest(at, bt if inside else bt + len(a.ids), len(ids))
+                    child = np.flatnonzero(low != np.arange(len(low)))
+                    yield _row(ids[child], ids[low[child]], 0)
+                    if size > HELD:
+                        held = [_added(held)]
+                        size = len(held[0][0])
+                        if size > HELD // 2:
+                            yield _row(held[0][0], None, held[0][1])
+                            held, size = [], 0
+            if held:
+                ids, n = _added(held)
+                yield _row(ids, None, n)
+
+    return tiles.mapInArrow(compare, "a long, b long, n long")
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, inverse = np.unique(ids[n > 0], return_inverse=True)
+    return found, np.bincount(inverse, n[n > 0], len(found))
+
+
+def _row(a: np.ndarray, b: np.ndarray | None, n) -> pa.RecordBatch:
+    others = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
+    return pa.RecordBatch.from_arrays([pa.array(a), others, pa.array(np.broadcast_to(n, len(a)).astype(np.int64))], ["a", "b", "n"])
+
+
+def near_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of vectors.
 
     Equal vectors are one node from the start, with their number as its weight, so copies aren't
     compared with one another. A bucket of at most `tile` nodes is compared by one matrix product;
     a larger one is dealt into tiles, and each pair of tiles is a row of its own, so a bucket of any
-    size is spread. Pairs within rounding of the threshold are decided in double precision. n_links: rows with a link to this one, itself excluded. component_id: the smallest id
-    of the component, null ids being larger than all. Vectors that are null, empty, zero or
-    hold null or non-finite values link with nothing, as do vectors of other lengths.
+    size is spread. Pairs within rounding of the threshold are decided in double precision.
+
+    n_links: rows with a link to this one, itself excluded. component_id: the smallest id
+    of the component, null ids being larger than all. Rows that repeat an id are vectors of their own,
+    with links of their own; those with the component's id are all kept. Vectors that are null, empty, zero or
+    hold null or non-finite values link with nothing, as do vectors of other lengths. An empty table gives an
+    empty result; other columns aren't read.
     """
-    rows = materialize(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).withColumn("same", F.sha2(F.to_json(F.struct("vector")), 256)), "vectors")
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector"))
+    rows = materialize(rows.withColumn("same", F.sha2(F.to_json(F.struct("vector")), 256)), "vectors")
     nodes = rows.groupBy("same").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    hashed = materialize(hash_vectors(nodes, "vector", **hashing), "hashed")
-
-    held = hashed.select("nid", F.explode("keys").alias("key"))
-    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    held = materialize(held.join(materialize(sizes, "sizes"), "key"), "held")
-    units = hashed.select("nid", F.col("unit").cast("array<float>").alias("unit"))
-    whole = held.where(F.col("size") <= tile).join(units, "nid").groupBy("key").agg(F.collect_list("nid").alias("nids"), F.collect_list("unit").alias("units"))
-    near = _near(whole.select("nids", "units", F.col("nids").alias("other_nids"), F.col("units").alias("other_units")), threshold)
+    projections, tables = projections_and_tables(nodes.count(), threshold, miss=miss)
+    hashed = materialize(hash_vectors(nodes, "vector", projections, tables), "hashed")
 
+    bucket = ["place", "key"]
+    held = hashed.select("nid", F.posexplode("keys").alias(*bucket))
+    sizes = held.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = materialize(sizes, "sizes")
     parts = F.ceil(F.col("size") / tile).cast("int")
-    large = held.where(F.col("size") > tile).withColumns({"parts": parts, "part": F.pmod(F.xxhash64("nid"), parts).cast("int")})
-    filled = materialize(large.join(units, "nid").groupBy("key", "part", "parts").agg(F.collect_list("nid").alias("nids"), F.collect_list("unit").alias("units")), "tiles")
-    left = filled.select("key", "nids", "units", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
-    right = filled.select("key", F.col("part").alias("other"), F.col("nids").alias("other_nids"), F.col("units").alias("other_units"))
-    near = near.unionByName(_near(left.join(right, ["key", "other"]).select("nids", "units", "other_nids", "other_units"), threshold))
-    near = materialize(near.groupBy("a", "b").agg(F.min("sure").alias("sure")), "near")
+    held = held.join(sizes, bucket).withColumns({"parts": parts, "part": F.pmod(F.xxhash64("nid"), parts).cast("int")})
+    member = F.struct("nid", "weight", F.col("unit").cast("array<float>").alias("unit"), "keys").alias("member")
+    members = hashed.join(nodes.select("nid", "weight"), "nid").select("nid", member)
+    filled = held.join(members, "nid").groupBy(*bucket, "part", "parts").agg(F.collect_list("member").alias("members"))
+    filled = materialize(filled, "tiles")
+    inside = filled.select("place", F.col("members").alias("left"), F.lit(None).cast(filled.schema["members"].dataType).alias("right"))
+    left = filled.where("part + 1 < parts").select(*bucket, F.col("members").alias("left"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("other"))
+    right = filled.where("parts > 1").select(*bucket, F.col("part").alias("other"), F.col("members").alias("right"))
+    found = _compared(inside.unionByName(left.join(right, [*bucket, "other"]).select("place", "left", "right")), threshold)
+    found = materialize(found, "found")
+    discard(filled)
+
     exact = lambda x: hashed.select(F.col("nid").alias(x), F.col("unit").alias(f"unit_{x}"))
-    unsure = near.where("not sure").join(exact("a"), "a").join(exact("b"), "b")
+    unsure = found.where("n = -1").select("a", "b").join(exact("a"), "a").join(exact("b"), "b")
     cosine = F.aggregate(F.zip_with("unit_a", "unit_b", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-    links = near.where("sure").select("a", "b").unionByName(unsure.where(cosine >= threshold).select("a", "b"))
-    links = materialize(links, "links")
+    decided = materialize(unsure.where(cosine >= threshold).select("a", "b"), "decided")
 
     weight = nodes.select("nid", "weight")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(weight.withColumnRenamed("nid", "b"), "b").groupBy(F.col("a").alias("nid")).agg(F.sum("weight").alias("linked"))
+    both = decided.unionByName(decided.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    few = both.join(weight.withColumnRenamed("nid", "b"), "b").select("a", F.col("weight").alias("n"))
+    linked = found.where("n > 0").select("a", "n").unionByName(few).groupBy(F.col("a").alias("nid")).agg(F.sum("n").alias("linked"))
     usable = hashed.select("nid", F.lit(True).alias("usable"))
-    roots = components(links).withColumnRenamed("node", "nid")
-    named = nodes.select("nid", "same", "low", "weight").join(usable, "nid", "left").join(linked, "nid", "left").join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    roots = components(found.where("n = 0").select("a", "b").unionByName(decided)).withColumnRenamed("node", "nid")
+    named = nodes.select("nid", "same", "low", "weight").join(usable, "nid", "left").join(linked, "nid", "left").join(roots, "nid", "left")
+    named = named.withColumn("root", F.coalesce("root", "nid"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = materialize(named.join(lowest, "root").select("same", "weight", "usable", "linked", "component_id"), "named")
+    for done in (nodes, hashed, sizes, found, decided):
+        discard(done)
     alone = F.col("usable").isNull()
     return rows.select("vec_id", "same").join(named, "same").select(
         "vec_id",
