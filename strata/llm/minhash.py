@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.graph import components
-from strata.llm.tables import materialize
+from strata.llm.tables import discard, materialize
 from strata.llm.words import Words, bytes_of, mixed, portions, run_hashes, signed
 
 SHINGLE = 5
@@ -60,22 +60,24 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, n_shingles, bands): node names the set itself; null without words."""
+    """(doc_id, print, node, n_shingles, bands): print is a hash of the text; node names the set itself; null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in portions(whole, 1):
-                sets = shingle_sets(batch.column(1), shingle)
+            for batch in portions(whole, 2):
+                sets = shingle_sets(batch.column(2), shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), bands), np.uint64)
                 if full:
                     keys[full] = band_keys([sets[i] for i in full], bands, rows)
                 nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), signed(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.string()), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "node", "n_shingles", "bands"])
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), sizes, lists], ["doc_id", "print", "node", "n_shingles", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(sign, f"doc_id {kind}, node string, n_shingles long, bands array<long>")
+    texts = docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col).cast("string"))
+    return texts.mapInArrow(sign, f"doc_id {kind}, print long, node string, n_shingles long, bands array<long>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -139,7 +141,8 @@ def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
 
     entries = apart.select("hub", "nid", "root", "n", "near", "short", "long", F.size("apart").alias("gap"), F.explode("apart").alias("element"))
     often = entries.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    entries = entries.join(materialize(often, "often"), ["hub", "element"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    often = materialize(often, "often")
+    entries = entries.join(often, ["hub", "element"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("hub", "nid").orderBy("often", "element"))
     entries = entries.withColumn("place", place).where((F.col("often") > 1) & (F.col("place") <= F.greatest("short", "long")))
     rest = F.col("gap") - F.col("place") + 1
@@ -158,7 +161,11 @@ def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
     compared = met.join(of("a"), ["hub", "a"]).join(of("b"), ["hub", "b"])
     gap = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
     total = F.col("n_a") + F.col("n_b")
-    return compared.select("a", "b", total.alias("total"), gap.alias("gap")).where((F.col("total") - F.col("gap")) * 100 >= (F.col("total") + F.col("gap")) * percent).select("a", "b").distinct()
+    found = compared.select("a", "b", total.alias("total"), gap.alias("gap")).where((F.col("total") - F.col("gap")) * 100 >= (F.col("total") + F.col("gap")) * percent)
+    found = materialize(found.select("a", "b").distinct(), "links")
+    for done in (rooted, apart, often, entries):
+        discard(done)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -174,10 +181,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the component; null ids count as larger than all, and a component of only such has null.
     Of rows that repeat the smallest id, each is kept. Only the id and the text are read.
     """
+    return _classified(docs, id_col, text_col, threshold, shingle, bands, rows).drop("print")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates with the hash of each row's text."""
     percent = round(threshold * 100)
     signed_rows = materialize(signatures(docs, id_col, text_col, shingle, bands, rows), "signatures")
     nodes = signed_rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    signed_rows, whole = materialize(signed_rows.drop("bands"), "rows"), signed_rows
+    discard(whole)
     held = nodes.select("nid", "n", F.explode("bands").alias("key"))
     shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     held = materialize(held.join(shared, "key"), "buckets")
@@ -185,24 +199,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = held.groupBy("nid").agg(F.sum("size").alias("degree"))
     hubs = held.join(degree, "nid").groupBy("key").agg(F.max(F.struct("degree", "nid")).getField("nid").alias("hub"))
     stars = materialize(held.join(hubs, "key").where("nid <> hub").select(F.col("hub").alias("a"), F.col("nid").alias("b"), F.col("n").alias("n_b")).distinct(), "stars")
-    stars = stars.join(nodes.select(F.col("nid").alias("a"), F.col("n").alias("n_a")), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    stored, stars = stars, stars.join(nodes.select(F.col("nid").alias("a"), F.col("n").alias("n_a")), "a").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
     sets = materialize(_sets(docs, id_col, text_col, held.select("nid").distinct().join(nodes, "nid").select("nid", "node", "rep"), shingle), "sets")
     links = materialize(_linked(stars, sets, percent), "links")
+    discard(stored)
     first = components(links)
 
-    more = materialize(_between(held.join(hubs, "key"), first, sets, percent), "links")
+    more = _between(held.join(hubs, "key"), first, sets, percent)
 
+    discard(held)
+    discard(sets)
     roots = components(links.unionByName(more))
     ids = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("node", "rep", F.coalesce("root", "nid").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(ids.join(lowest, "root").select("node", "component_id"), "components")
-    return signed_rows.select("doc_id", "node", "n_shingles").join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    for done in (nodes, links, more):
+        discard(done)
+    return signed_rows.select("doc_id", "print", "node", "n_shingles").join(named, "node", "left").select(
+        "doc_id", "print", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("node").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that near_duplicates doesn't keep, in docs' own columns."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__strata_id"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__strata_id")), "left_semi")
+    """docs without the rows that near_duplicates doesn't keep, in docs' own columns; rows that repeat an id are told apart by their texts."""
+    kept = _classified(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__strata_id"), F.col("print").alias("__strata_print"))
+    marked = docs.withColumn("__strata_key", F.xxhash64(text_col))
+    return marked.join(kept, F.col(id_col).eqNullSafe(F.col("__strata_id")) & (F.col("__strata_key") == F.col("__strata_print")), "left_semi").select(*docs.columns)

@@ -85,10 +85,28 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as the mix takes them: each row as many times as mix_sources says, in docs' own columns."""
+    """docs as the mix takes them: each row as many times as mix_sources says, in docs' own columns.
+
+    Rows that repeat id, source and text share their copies, which are dealt to them in turn: their ranks are those
+    inside a partition after the counts of the partitions before, so that no number of equal rows is one task.
+    """
     plan = mix_sources(docs, id_col, text_col, source_col, **options)
-    plan = plan.groupBy(F.col("doc_id").alias("__strata_id"), F.col("source").alias("__strata_source"), F.col("print").alias("__strata_print")).agg(F.sum("copies").alias("__strata_copies"), F.count(F.lit(1)).alias("__strata_rows"))
+    key = ["__strata_id", "__strata_source", "__strata_print"]
+    plan = plan.groupBy(*(F.col(c).alias(k) for c, k in zip(("doc_id", "source", "print"), key, strict=True))).agg(F.sum("copies").alias("__strata_copies"), F.count(F.lit(1)).alias("__strata_rows"))
     marked = docs.withColumn("__strata_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(plan, F.col(id_col).eqNullSafe(F.col("__strata_id")) & F.col(source_col).eqNullSafe(F.col("__strata_source")) & (F.col("__strata_key") == F.col("__strata_print")))
-    share = F.ceil(F.col("__strata_copies") / F.col("__strata_rows")).cast("int")  # rows that repeat one another share their copies
-    return joined.where("__strata_copies > 0").withColumn("__strata_copy", F.explode(F.sequence(F.lit(1), share))).select(*docs.columns)
+    joined = marked.join(plan, F.col(id_col).eqNullSafe(F.col(key[0])) & F.col(source_col).eqNullSafe(F.col(key[1])) & (F.col("__strata_key") == F.col(key[2])))
+    joined = joined.where("__strata_copies > 0").drop("__strata_key")
+    dealt = lambda df, n: df.withColumn("__strata_copy", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    single = dealt(joined.where("__strata_rows = 1"), F.col("__strata_copies").cast("int"))
+
+    repeated = materialize(joined.where("__strata_rows > 1").withColumn("__strata_part", F.spark_partition_id()).withColumn("__strata_row", F.monotonically_increasing_id()), "mix-repeated")
+    counts = repeated.groupBy(*key, "__strata_part").agg(F.count(F.lit(1)).alias("__strata_n"))
+    earlier = Window.partitionBy(*key).orderBy("__strata_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(c).alias(f"{c}_") for c in [*key, "__strata_part"]), F.coalesce(F.sum("__strata_n").over(earlier), F.lit(0)).alias("__strata_before"))
+    same = F.lit(True)
+    for c in [*key, "__strata_part"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    place = F.row_number().over(Window.partitionBy(*key, "__strata_part").orderBy("__strata_row")) + F.col("__strata_before")
+    ranked = repeated.join(counts, same).withColumn("__strata_place", place)
+    share = F.floor(F.col("__strata_copies") / F.col("__strata_rows")) + F.when(F.col("__strata_place") <= F.col("__strata_copies") % F.col("__strata_rows"), 1).otherwise(0)
+    return single.unionByName(dealt(ranked.withColumn("__strata_share", share.cast("int")).where("__strata_share > 0"), F.col("__strata_share")))

@@ -24,7 +24,6 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # each remainder modulo 31 is a difference of two of them
 ANCHOR = WINDOW - PERIOD + 1
 REACH = WINDOW - ANCHOR
-RID_BITS = 20
 
 
 def _rows(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -34,7 +33,7 @@ def _rows(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.R
 
 
 def _anchors(keyed: DataFrame, kind: str) -> DataFrame:
-    """(h, e, doc_id, place): an anchor's hash, that of its surroundings, and rid, position, reach to the left and right packed into place."""
+    """(h, e, doc_id, rid, place): an anchor's hash, that of its surroundings, and position, reach to the left and right packed into place."""
     covered = np.zeros(PERIOD, bool)
     covered[list(COVER)] = True
 
@@ -50,15 +49,14 @@ def _anchors(keyed: DataFrame, kind: str) -> DataFrame:
             runs = Runs(words.hashes())
             left, right = np.minimum(place, REACH), np.minimum(counts[doc] - place - ANCHOR, REACH)
             around = mixed(runs.of(at - left, at + ANCHOR + right) + left.astype(np.uint64))
-            rid = batch.column(1).to_numpy(zero_copy_only=False)[doc]
-            packed = rid << 44 | place << 12 | left << 6 | right
-            yield pa.RecordBatch.from_arrays([signed(runs.of(at, at + ANCHOR)), signed(around), batch.column(0).take(pa.array(doc)), pa.array(packed)], ["h", "e", "doc_id", "place"])
+            own = [batch.column(i).take(pa.array(doc)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([signed(runs.of(at, at + ANCHOR)), signed(around), *own, pa.array(place << 12 | left << 6 | right)], ["h", "e", "doc_id", "rid", "place"])
 
-    return keyed.mapInArrow(find, f"h long, e long, doc_id {kind}, place long")
+    return keyed.mapInArrow(find, f"h long, e long, doc_id {kind}, rid long, place long")
 
 
 def _windows(texts: DataFrame, kind: str) -> DataFrame:
-    """(h1, h2, doc_id, place) for each window whose start is in the ranges of (doc_id, rid, text, ranges)."""
+    """(h1, h2, doc_id, rid, place) for each window whose start is in the ranges of (doc_id, rid, text, ranges)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _rows(batches, 2):
@@ -74,11 +72,11 @@ def _windows(texts: DataFrame, kind: str) -> DataFrame:
             if not len(at):
                 continue
             doc = np.searchsorted(words.first, at, "right") - 1
-            rid = batch.column(1).to_numpy(zero_copy_only=False)[doc]
-            packed = rid << 44 | (at - words.first[doc]) << 12
-            yield pa.RecordBatch.from_arrays([signed(Runs(words.hashes(5), 7).of(at, at + WINDOW)), signed(Runs(words.hashes(6), 8).of(at, at + WINDOW)), batch.column(0).take(pa.array(doc)), pa.array(packed)], ["h1", "h2", "doc_id", "place"])
+            names = [signed(Runs(words.hashes(a), b).of(at, at + WINDOW)) for a, b in ((5, 7), (6, 8))]
+            own = [batch.column(i).take(pa.array(doc)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, *own, pa.array(at - words.first[doc])], ["h1", "h2", "doc_id", "rid", "place"])
 
-    return texts.mapInArrow(find, f"h1 long, h2 long, doc_id {kind}, place long")
+    return texts.mapInArrow(find, f"h1 long, h2 long, doc_id {kind}, rid long, place long")
 
 
 def _cut(texts: DataFrame, kind: str) -> DataFrame:
@@ -122,11 +120,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     step is a grouping with map-side minima and a join to it, so a passage of any frequency is spread.
 
     Texts below 50 words, nulls and blanks lose nothing. Rows without an id are compared with
-    nothing; rows that repeat an id are one document with respect to "smaller".
+    nothing; rows that repeat an id are one document with respect to "smaller", told apart by a hash of their texts. Other columns
+    aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), (F.xxhash64(text).bitwiseAND((1 << RID_BITS) - 1 >> 1)).alias("rid"), text.alias("text"))
+    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id is not null")
+    unique = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    keyed = docs.select(F.col(id_col).alias("doc_id"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("rid"), text.alias("text"))
     anchors = _anchors(keyed.where("doc_id is not null"), kind)
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     found = materialize(anchors.join(materialize(shared, "shared"), "h"), "anchors")
@@ -134,16 +135,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = materialize(found.groupBy("h", "e").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("high")), "kinds")
     several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     left, right = F.shiftright("place", 6).bitwiseAND(63), F.col("place").bitwiseAND(63)
-    at, rid = F.shiftright("place", 12).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("place", 44)
+    at = F.shiftright("place", 12)
     whole = F.shiftleft(at - left, 32).bitwiseOR(at + ANCHOR + right)
-    settled = found.join(kinds.where("lead < high").select("h", "e", "lead"), ["h", "e"]).where("doc_id > lead").select("doc_id", rid.alias("rid"), whole.alias("span"))
+    settled = found.join(kinds.where("lead < high").select("h", "e", "lead"), ["h", "e"]).where("doc_id > lead").select("doc_id", "rid", whole.alias("span"))
 
     leads = kinds.join(several, "h", "left_semi").select("h", "e", F.col("lead").alias("doc_id"))
-    leads = found.join(leads, ["h", "e", "doc_id"], "left_semi").groupBy("doc_id", rid.alias("rid")).agg(F.collect_set("place").alias("places"))
+    leads = found.join(leads, ["h", "e", "doc_id"], "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("place").alias("places"))
     windows = materialize(_windows(keyed.join(leads, ["doc_id", "rid"]).select("doc_id", "rid", "text", "places"), kind), "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("high")).where("lead < high").select("h1", "h2", "lead")
-    start = F.shiftright("place", 12).bitwiseAND(0xFFFFFFFF)
-    later = windows.join(materialize(firsts, "firsts"), ["h1", "h2"]).where("doc_id > lead").select("doc_id", rid.alias("rid"), F.shiftleft(start, 32).bitwiseOR(start + WINDOW).alias("span"))
+    span = F.shiftleft("place", 32).bitwiseOR(F.col("place") + WINDOW)
+    later = windows.join(materialize(firsts, "firsts"), ["h1", "h2"]).where("doc_id > lead").select("doc_id", "rid", span.alias("span"))
 
     spans = settled.unionByName(later).groupBy("doc_id", "rid").agg(F.collect_set("span").alias("spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"})
