@@ -25,7 +25,7 @@ from strata.llm.words import LOWER, SEGMENT, Words, bytes_of, portions, released
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
-SORTED = 4 << 20  # keys that are sorted at once
+SORTED = 2 << 20  # keys that are sorted at once
 EDGE = 0xFF  # stands before a text and ends it; no UTF-8 text holds it
 DELTA = 0.1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -118,11 +118,12 @@ class Counted:
         marked = np.concatenate(self.held)
         self.held, self.size = [], 0
         marked.sort()
-        at = np.flatnonzero(np.concatenate(([True], marked[1:] >> np.uint64(1) != marked[:-1] >> np.uint64(1)))[: len(marked)])
-        trained = np.concatenate(([0], np.cumsum(marked & np.uint64(1), dtype=np.int64)))
-        ends = np.append(at[1:], len(marked))
-        self.parts.append((marked[at] >> np.uint64(1), trained[ends] - trained[at]))
-        if len(self.parts) > 4:
+        trained = np.concatenate(([0], np.cumsum(marked & np.uint64(1), dtype=np.uint32)))
+        marked >>= np.uint64(1)
+        at = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1]))[: len(marked)])
+        n = trained[np.append(at[1:], len(marked))] - trained[at]
+        self.parts.append((marked[at], n.astype(np.int64)))
+        if len(self.parts) > 2:
             self.parts = [self._merged()]
 
     def _merged(self) -> tuple[np.ndarray, np.ndarray]:
@@ -143,23 +144,26 @@ def _items(blocks: DataFrame) -> DataFrame:
     """(block, key, n): distinct grams and words of each block, and how often training texts have them. Words have negative keys."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with released():
-            for whole in batches:
-                for row in range(whole.num_rows):
-                    grams, names = Counted(), Counted()
-                    for batch in _documents(whole.column(1)[row]):
-                        data, offsets = bytes_of(batch.column(1))
-                        data = LOWER[data]
-                        trained = batch.column(2).to_numpy(zero_copy_only=False)
-                        for found, first, starts in Stream(data, offsets, ORDER).segments():
-                            grams.add(found, np.repeat(trained[first : first + len(starts)], np.diff(starts, append=len(found))))
-                        held = Words(data, offsets)
-                        names.add(_word_keys(held), np.repeat(trained, np.diff(held.first)))
-                    for counted, mark in ((grams, np.uint64(0)), (names, WORD)):
-                        keys, n = counted.result()
-                        for at in range(0, len(keys), 1 << 16):
-                            part = signed(keys[at : at + (1 << 16)] | mark)
-                            yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(np.full(len(part), row))), part, pa.array(n[at : at + (1 << 16)])], ["block", "key", "n"])
+        for whole in batches:
+            for row in range(whole.num_rows):
+                with released():
+                    found = [counted.result() for counted in counts(whole.column(1)[row])]
+                for (keys, n), mark in zip(found, (np.uint64(0), WORD), strict=True):
+                    for at in range(0, len(keys), 1 << 16):
+                        part = signed(keys[at : at + (1 << 16)] | mark)
+                        yield pa.RecordBatch.from_arrays([whole.column(0).take(pa.array(np.full(len(part), row))), part, pa.array(n[at : at + (1 << 16)])], ["block", "key", "n"])
+
+    def counts(content) -> tuple[Counted, Counted]:
+        grams, names = Counted(), Counted()
+        for batch in _documents(content):
+            data, offsets = bytes_of(batch.column(1))
+            data = LOWER[data]
+            trained = batch.column(2).to_numpy(zero_copy_only=False)
+            for found, first, starts in Stream(data, offsets, ORDER).segments():
+                grams.add(found, np.repeat(trained[first : first + len(starts)], np.diff(starts, append=len(found))))
+            held = Words(data, offsets)
+            names.add(_word_keys(held), np.repeat(trained, np.diff(held.first)))
+        return grams, names
 
     return blocks.mapInArrow(count, "block long, key long, n long")
 
@@ -270,8 +274,10 @@ def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id",
 
     def score(blocks: pa.Table, table: pa.Table) -> pa.Table:
         with released():
-            found = Values(table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy())
-            return pa.Table.from_batches([scored(x, found) for content in blocks.column("content") for x in _documents(content)])
+            return block_scores(blocks, Values(table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()))
+
+    def block_scores(blocks: pa.Table, found: Values) -> pa.Table:
+        return pa.Table.from_batches([scored(x, found) for content in blocks.column("content") for x in _documents(content)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -42,7 +42,7 @@ def spread(rows: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if not 0 < len(rows.inputFiles()) < cores:
         return rows
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
 
 

@@ -6,6 +6,7 @@ are computed a segment of bytes at a time, so scratch memory doesn't grow with a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -125,12 +126,15 @@ def portions(batch: pa.RecordBatch, column: int, size: int = SEGMENT) -> Iterato
 
 @contextmanager
 def released(forget: Callable[[], None] = lambda: None) -> Iterator[None]:
-    """At the end of a task: forget what only it needed, and give Arrow's idle memory back, since the worker lives on."""
+    """At the end of a task: forget what only it needed, and give idle memory back, since the worker lives on."""
     try:
         yield
     finally:
         forget()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed arrays otherwise
+        if trim is not None:
+            trim(0)
 
 
 def signed(x: np.ndarray) -> pa.Array:
