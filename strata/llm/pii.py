@@ -2,7 +2,7 @@
 
 Base patterns find what has the plain form. A character-level bidirectional LSTM with CRF
 transitions, trained in numpy, adds spans in other forms (an address written with "(at)", a number
-grouped otherwise). Texts are tagged in overlapping windows, each decoded by itself; where windows
+grouped otherwise). Every text is tagged in overlapping windows, each decoded by itself; where windows
 disagree, the span farther from its window's edges stays, over the whole text.
 """
 
@@ -18,24 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.words import portions
+from strata.llm.tables import spread
+from strata.llm.words import portions, released
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then first and further characters of each kind
-SPAN, STRIDE = 160, 80
+SPAN = 160  # characters of a snippet in training
+WINDOW, STRIDE = 512, 448  # of a text; the overlap holds any span that training has
+TOGETHER, STEP = 1024, 64  # windows that are tagged together: of one length, in multiples of STEP
 HIDDEN = 16
-SAMPLE_ROWS, SAMPLE_SNIPPETS = 300, 900
-EPOCHS, BATCH, RATE = 12, 64, 0.02
+SAMPLE_ROWS, SAMPLE_SNIPPETS, SNIPPETS_A_TEXT = 300, 2600, 2
+EPOCHS, BATCH, RATE = 11, 96, 0.02
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What any span of these kinds holds; windows without it aren't tagged.
-SIGN = re.compile(r"[0-9@]|[(\[{<]\s*(?:at|dot)\s*[)\]}>]", re.IGNORECASE)
-PLAIN_SIGN = re.compile(r"[0-9@]")
-AT = re.compile(r"@|[(\[{<]\s*at\s*[)\]}>]", re.IGNORECASE)
+PLAIN_SIGN = re.compile(r"[0-9@]")  # what a match of a base pattern holds
+AT = re.compile(r"@|[(\[{<]\s*at\s*[)\]}>]|\sat\s", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -86,10 +87,6 @@ def symbols(text: str) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 @dataclass
 class Tagger:
     """Weights: for each direction the input rows (130, 4h) and recurrence (h, 4h); then emissions and the CRF."""
@@ -102,13 +99,14 @@ class Tagger:
 
     def states(self, ids: np.ndarray, keep: bool = False):
         """Hidden states (T, B, 2h) of ids (B, T); with keep also what training needs."""
-        size, n, h = ids.shape[1], len(ids), HIDDEN
-        hidden, kept = np.zeros((size, n, 2 * h), np.float32), []
+        size, n, h = ids.shape[1], len(ids), self.inner[0].shape[0]
+        hidden, kept = np.zeros((size, n, 2 * h), self.out.dtype), []
         for d in (0, 1):
-            state, cell, trace = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), []
+            state, cell, trace = np.zeros((n, h), self.out.dtype), np.zeros((n, h), self.out.dtype), []
             for t in range(size) if d == 0 else range(size - 1, -1, -1):
-                x = self.inputs[d][ids[:, t]] + state @ self.inner[d]
-                gates, new = _sigmoid(x[:, : 3 * h]), np.tanh(x[:, 3 * h :])
+                x = self.inputs[d][ids[:, t]]
+                x += state @ self.inner[d]
+                gates, new = 0.5 * np.tanh(0.5 * x[:, : 3 * h]) + 0.5, np.tanh(x[:, 3 * h :])
                 before, cell = cell, gates[:, :h] * cell + gates[:, h : 2 * h] * new
                 squashed = np.tanh(cell)
                 if keep:
@@ -118,9 +116,65 @@ class Tagger:
             kept.append(trace)
         return (hidden, kept) if keep else hidden
 
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """(T, B, TAGS) from ids (B, T): states() @ out + bias, with the halves of the sigmoids taken into the weights."""
+        size, n, h = ids.shape[1], len(ids), self.inner[0].shape[0]
+        at, hidden = np.ascontiguousarray(ids.T, np.intp), np.empty((size, n, h), self.out.dtype)
+        emit = np.zeros((size, n, TAGS), self.out.dtype) + self.bias
+        state, cell, into = (np.empty((n, h), self.out.dtype) for _ in range(3))
+        gates = [np.empty_like(state) for _ in range(4)]
+        for d in (0, 1):
+            enter, inner = self.inputs[d].copy(), self.inner[d] * 0.5  # states are held twice as large
+            enter[:, : 3 * h] *= 0.5
+            inner[:, : 3 * h] *= 0.5
+            enter, inner = ([np.ascontiguousarray(w) for w in np.split(x, 4, axis=1)] for x in (enter, inner))
+            state[:], cell[:] = 0, 0
+            for t in range(size) if d == 0 else range(size - 1, -1, -1):
+                for gate, e, i in zip(gates, enter, inner, strict=True):
+                    np.matmul(state, i, out=into)
+                    np.take(e, at[t], 0, out=gate, mode="clip")
+                    gate += into
+                    np.tanh(gate, out=gate)
+                forget, admit, leave, new = gates
+                for gate in (forget, admit, leave):
+                    gate += 1
+                forget *= cell
+                admit *= new
+                np.add(forget, admit, out=cell)
+                cell *= 0.5
+                np.tanh(cell, out=into)
+                np.multiply(leave, into, out=state)
+                hidden[t] = state
+            emit += hidden @ (self.out[d * h : (d + 1) * h] * 0.5)
+        return emit
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tags (B, T) under emissions and transitions."""
-        emit = self.states(ids) @ self.out + self.bias
+        """The best tags (B, T) under emissions and transitions; windows where nothing can beat all outside need no search."""
+        emit = self.emissions(ids)
+        tags = np.zeros(ids.shape, np.int8)
+        open_ = np.flatnonzero(self.may_hold(emit))
+        if len(open_):
+            tags[open_] = self.best(emit[:, open_])
+        return tags
+
+    def may_hold(self, emit: np.ndarray) -> np.ndarray:
+        """(B): whether some path may score as much as all outside. Exact but for transitions, of which the best of a sort counts."""
+        moves = self.moves - self.moves[0, 0]
+        enter, leave = float(np.where(BARRED, -1e4, moves)[:, 1::2].max()), float(moves[1:, 0].max())
+        onward = np.array([max(moves[k, k + 1], moves[k + 1, k + 1]) for k in range(1, TAGS, 2)], emit.dtype)
+        first, further = emit[:, :, 1::2] - emit[:, :, :1] + enter, emit[:, :, 2::2] - emit[:, :, :1] + onward
+        inside = emit[0, :, 1::2] - emit[0, :, :1]  # against all outside, by kind: now in a span
+        best = inside.max(1)
+        top = best.copy()
+        for t in range(1, len(emit)):
+            inside += further[t]
+            np.maximum(inside, first[t] + np.maximum(best, 0)[:, None], out=inside)
+            np.max(inside, 1, out=best)
+            np.maximum(top, best, out=top)
+        return np.maximum(top + max(leave, 0.0), best) >= 0
+
+    def best(self, emit: np.ndarray) -> np.ndarray:
+        """Viterbi: the tags (B, T) of the highest sum of emissions (T, B, TAGS) and transitions."""
         size, n = emit.shape[:2]
         back = np.zeros((size, n, TAGS), np.int8)
         score = emit[0] + START
@@ -159,7 +213,7 @@ def fit(snippets: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 9) -
     means, squares, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for epoch in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(snippets)), max(1, len(snippets) // BATCH)):
-            slopes = _slopes(model, ids[part], tags[part])
+            slopes = gradients(model, ids[part], tags[part])
             norm = np.sqrt(sum(float((g**2).sum()) for g in slopes))
             step += 1
             rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -172,10 +226,10 @@ def fit(snippets: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 9) -
     return model
 
 
-def _slopes(model: Tagger, ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
+def gradients(model: Tagger, ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean negative log likelihood of tags, by weight: the CRF's marginals, then back through time."""
     n, size = ids.shape
-    h = HIDDEN
+    h = model.inner[0].shape[0]
     hidden, kept = model.states(ids, keep=True)
     emit = hidden @ model.out + model.bias
     fore, aft = np.empty_like(emit), np.zeros_like(emit)
@@ -195,42 +249,46 @@ def _slopes(model: Tagger, ids: np.ndarray, tags: np.ndarray) -> list[np.ndarray
     miss /= n
     down = miss @ model.out.T
     inputs, inner = [np.zeros_like(w) for w in model.inputs], [np.zeros_like(w) for w in model.inner]
+    order = np.argsort(ids.T.ravel(), kind="stable")  # places by character
+    found, firsts = np.unique(ids.T.ravel()[order], return_index=True)
     for d in (0, 1):
-        from_state, from_cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        from_state, from_cell = np.zeros((n, h), down.dtype), np.zeros((n, h), down.dtype)
+        entered = np.empty((size, n, 4 * h), down.dtype)
         for t, state, before, gates, new, squashed in reversed(kept[d]):
             forget, enter, leave = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
             into = down[t][:, d * h : (d + 1) * h] + from_state
             from_cell = from_cell + into * leave * (1 - squashed**2)
             x = np.concatenate([from_cell * before * forget * (1 - forget), from_cell * new * enter * (1 - enter), into * squashed * leave * (1 - leave), from_cell * enter * (1 - new**2)], axis=1)
-            np.add.at(inputs[d], ids[:, t], x)
+            entered[t] = x
             inner[d] += state.T @ x
             from_state, from_cell = x @ model.inner[d].T, from_cell * forget
+        inputs[d][found] = np.add.reduceat(entered.reshape(size * n, -1)[order], firsts)
     return [*inputs, *inner, np.einsum("tnh,tnk->hk", hidden, miss), miss.sum((0, 1)), pairs / n]
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Tagger) -> list[list[tuple[int, int, int]]]:
     """Spans that the tagger finds beside the base spans, for each text."""
-    windows: list[tuple[int, int]] = []
+    codes = [symbols(text) for text in texts]
+    windows: dict[int, list[tuple[int, int]]] = {}
     for k, text in enumerate(texts):
-        at = {p for m in SIGN.finditer(text) for p in (m.start() // STRIDE, m.start() // STRIDE - 1) if p >= 0}
-        windows += [(k, p * STRIDE) for p in sorted(at)]
+        for start in range(0, max(len(text) - (WINDOW - STRIDE), 1), STRIDE) if text else ():
+            windows.setdefault(min(WINDOW, -(-(len(text) - start) // STEP) * STEP), []).append((k, start))
     found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    for first in range(0, len(windows), 1024):
-        part = windows[first : first + 1024]
-        ids = np.zeros((len(part), SPAN), np.int16)
+    for size, part in ((size, of[i : i + TOGETHER]) for size, of in windows.items() for i in range(0, len(of), TOGETHER)):
+        ids = np.zeros((len(part), size), np.int16)
         for i, (k, start) in enumerate(part):
-            got = symbols(texts[k][start : start + SPAN])
+            got = codes[k][start : start + size]
             ids[i, : len(got)] = got
         tags = model.decode(ids)
         for i in np.flatnonzero(tags.any(1)):
             k, start = part[i]
-            row, end = tags[i], min(SPAN, len(texts[k]) - start)
+            row, end = tags[i], min(WINDOW, len(texts[k]) - start)
             for at in np.flatnonzero(row % 2 == 1):
                 until = at + 1
                 while until < end and row[until] == row[at] + 1:
                     until += 1
                 if at < end:
-                    room = min(at if start else SPAN, SPAN - until if start + end < len(texts[k]) else SPAN)
+                    room = min(at if start else WINDOW, WINDOW - until if start + end < len(texts[k]) else WINDOW)
                     found[k].append((int(room), (int(row[at]) - 1) // 2, start + int(at), start + int(until)))
     out = []
     for text, own, spans in zip(texts, base, found, strict=True):
@@ -258,7 +316,7 @@ def examples(texts: list[str], seed: int = 13, count: int = SAMPLE_SNIPPETS) ->
     out = []
     for text in texts:
         spans = base_spans(text)
-        for _, s, e in rng.sample(spans, min(2, len(spans))):
+        for _, s, e in rng.sample(spans, min(SNIPPETS_A_TEXT, len(spans))):
             low = max(0, s - rng.randrange(10, 90))
             part = text[low : low + SPAN]
             out.append((part, [(k, a - low, b - low) for k, a, b in spans if a >= low and b <= low + len(part)]))
@@ -278,14 +336,23 @@ def examples(texts: list[str], seed: int = 13, count: int = SAMPLE_SNIPPETS) ->
         host, end = name() + rng.choice(["", str(rng.randrange(10))]), rng.choice(["com", "org", "net", "de", "fr", "es", "io"])
         user = rng.choice([name(), f"{name()}.{name()}", f"{name()}{digits(2)}", f"{name()}.{digits(2)}"])
         a, b = rng.choice([("(", ")"), ("[", "]"), (" (", ") "), (" [", "] ")])
-        return rng.choice([
-            (0, f"{user}@{host}.{end}"), (0, f"{user}@{name()}.{host}.{end}"), (0, f"{user}{a}at{b}{host}.{end}"), (0, f"{user}{a}at{b}{host}{a}dot{b}{end}"), (0, f"{user} @ {host}.{end}"),
-            (1, ".".join(str(rng.randrange(256)) for _ in range(4))), (2, c), (2, "-".join(four)), (2, " ".join(four)), (2, ".".join(four)),
-            (3, f"+{rng.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}"), (3, f"+{rng.randrange(1, 99)} {digits(3)} {digits(3)} {digits(4)}"), (3, f"({digits(3)}) {digits(3)}-{digits(4)}"), (3, f"{digits(3)}-{digits(3)}-{digits(4)}"),
-            (3, f"{digits(3)}.{digits(3)}.{digits(4)}"), (3, f"00{rng.randrange(10, 99)} {digits(3)} {digits(7)}"),
-            (None, digits(rng.choice([1, 2, 3, 4, 5, 6, 7, 20, 24]))), (None, f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}"), (None, f"{digits(2)}.{digits(2)}"), (None, f"{digits(1)}.{digits(1)}.{digits(2)}"),
-            (None, "".join(rng.choice("0123456789abcdef") for _ in range(40))), (None, f"{digits(2)}:{digits(2)}:{digits(2)}"), (None, f"{digits(1)},{digits(3)},{digits(3)}"), (None, f"@{name()}"), (None, f"{name()} at {name()}"),
-        ])
+        area, country = digits(3), rng.randrange(1, 99)
+        emails = [
+            f"{user}@{host}.{end}", f"{user}@{host}.{end}", f"{user}@{name()}.{host}.{end}", f"{user}{a}at{b}{host}.{end}",
+            f"{user}{a}at{b}{host}{a}dot{b}{end}", f"{user} @ {host}.{end}", f"{user} at {host} dot {end}",
+        ]
+        cards = [c, "-".join(four), " ".join(four), ".".join(four)]
+        phones = [
+            f"+{country} ({area}) {digits(3)}-{digits(4)}", f"+{country} {area} {digits(3)} {digits(4)}", f"({area}) {digits(3)}-{digits(4)}",
+            f"{area}-{digits(3)}-{digits(4)}", f"{area}.{digits(3)}.{digits(4)}", f"00{rng.randrange(10, 99)} {area} {digits(7)}",
+        ]
+        none = [
+            digits(rng.choice([1, 2, 3, 4, 5, 6, 7, 20, 24])), f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}",
+            f"{digits(2)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+            f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)},{digits(3)},{digits(3)}", f"@{name()}", f"{name()} at {name()}", f"{name()} at {name()}. {name()}",
+        ]
+        kind = rng.choice([0, 0, 0, 1, 2, 2, 3, 3, None, None])
+        return kind, rng.choice(none if kind is None else (emails, [".".join(str(rng.randrange(256)) for _ in range(4))], cards, phones)[kind])
 
     fill = [t for t in texts if len(t) > 40] or ["the of and to in is that it was for on are as with"]
     while len(out) < count:
@@ -301,7 +368,7 @@ def examples(texts: list[str], seed: int = 13, count: int = SAMPLE_SNIPPETS) ->
 
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> Tagger:
-    """A tagger from at most rows texts that hold a digit or @, at most 20,000 characters long, those of the smallest hash."""
+    """A tagger from at most rows texts that hold a digit or @, at most 20,000 characters long, those of the smallest hash; at most SNIPPETS_A_TEXT snippets of each, a third of SAMPLE_SNIPPETS in all, beside drawn ones. Null texts are left out."""
     marked = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= 20_000)).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     lowest = marked.select("h").distinct().orderBy("h").limit(rows).collect()  # hashes alone: each task sends its lowest
     if not lowest:
@@ -313,28 +380,28 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> T
 def find_personal_data(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, added: arrays of (kind, start, end)), a row for each row of docs.
 
-    Positions are code points, the end exclusive; nulls and empty texts have no spans. Whole texts
-    are read; the tagger runs over every window that holds a digit, an @ or a bracketed "at" or
-    "dot", without which none of the kinds occurs.
+    Positions are code points, the end exclusive; nulls and empty texts have no spans. The tagger runs over
+    every window of every text. Rows are treated one by one, so null and repeated ids are carried through, and an
+    empty table gives an empty result. Only the id and the text are read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for whole in batches:
-            for batch in portions(whole, 1):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                base = [base_spans(t) for t in texts]
-                signed = [i for i, t in enumerate(texts) if SIGN.search(t)]
-                added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-                for i, own in zip(signed, added_spans([texts[i] for i in signed], [base[i] for i in signed], model), strict=True):
-                    added[i] = own
-                shown = lambda x: pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in own] for own in x], spans)
-                yield pa.RecordBatch.from_arrays([batch.column(0), shown(base), shown(added)], ["doc_id", "base", "added"])
+        with released():
+            for whole in batches:
+                for batch in portions(whole, 1):
+                    texts = [t or "" for t in batch.column(1).to_pylist()]
+                    base = [base_spans(t) for t in texts]
+                    added = added_spans(texts, base, model)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), shown(base), shown(added)], ["doc_id", "base", "added"])
+
+    def shown(found: list) -> pa.Array:
+        return pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in own] for own in found], spans)
 
     kind, listed = docs.schema[id_col].dataType.simpleString(), "array<struct<kind:string,start:long,end:long>>"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(find, f"doc_id {kind}, base {listed}, added {listed}")
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(find, f"doc_id {kind}, base {listed}, added {listed}")
 
 
 def digests(found: DataFrame) -> DataFrame:
