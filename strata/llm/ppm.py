@@ -25,7 +25,7 @@ from strata.llm.words import LOWER, SEGMENT, Words, bytes_of, portions, released
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
-SORTED = 2 << 20  # keys that are sorted at once
+SORTED = 1 << 20  # keys that are sorted at once
 EDGE = 0xFF  # stands before a text and ends it; no UTF-8 text holds it
 DELTA = 0.1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +41,7 @@ class Stream:
         for i in range(count):
             self.padded[self.begins[i] + order : self.begins[i + 1] + order - 1] = data[offsets[i] : offsets[i + 1]]
 
-    def segments(self, size: int = SEGMENT) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    def segments(self, size: int = SEGMENT // 4) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(grams, first text, where each text begins in the segment): a text longer than a segment is in several."""
         for low in range(0, int(self.begins[-1]), size):
             high = min(low + size, int(self.begins[-1]))
@@ -105,7 +105,7 @@ class Counted:
     def __init__(self) -> None:
         self.held: list[np.ndarray] = []
         self.size = 0
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray, trained: np.ndarray) -> None:
         self.held.append(keys << np.uint64(1) | trained.astype(np.uint64))
@@ -114,30 +114,28 @@ class Counted:
             self._turn()
 
     def _turn(self) -> None:
-        """Sort what is held, which is far faster than finding the order of it, and keep distinct keys and counts."""
+        """Sort what is held, which is far faster than finding the order of it, and add it to the sorted distinct keys and counts."""
         marked = np.concatenate(self.held)
         self.held, self.size = [], 0
         marked.sort()
         trained = np.concatenate(([0], np.cumsum(marked & np.uint64(1), dtype=np.uint32)))
         marked >>= np.uint64(1)
-        at = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1]))[: len(marked)])
-        n = trained[np.append(at[1:], len(marked))] - trained[at]
-        self.parts.append((marked[at], n.astype(np.int64)))
-        if len(self.parts) > 2:
-            self.parts = [self._merged()]
-
-    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) == 1:
-            return self.parts[0]
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        found, inverse = np.unique(keys, return_inverse=True)
-        return found, np.bincount(inverse, weights=n, minlength=len(found)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1]))[: len(marked)])
+        n = (trained[np.append(first[1:], len(marked))] - trained[first]).astype(np.int64)
+        keys = marked[first]
+        at = np.searchsorted(self.keys, keys)
+        known = np.flatnonzero(at < len(self.keys))
+        known = known[self.keys[at[known]] == keys[known]]
+        self.n[at[known]] += n[known]
+        fresh = np.ones(len(keys), bool)
+        fresh[known] = False
+        self.n = np.insert(self.n, at[fresh], n[fresh])
+        self.keys = np.insert(self.keys, at[fresh], keys[fresh])
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.held or not self.parts:
-            self.held.append(np.zeros(0, np.uint64))
+        if self.held:
             self._turn()
-        return self._merged()
+        return self.keys, self.n
 
 
 def _items(blocks: DataFrame) -> DataFrame:
@@ -171,13 +169,22 @@ def _items(blocks: DataFrame) -> DataFrame:
 class Values:
     """The value of each key of a block. Keys are spread by an odd factor, so that their first bits lead to them at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        keys = keys * SPREAD
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+    def __init__(self, keys: np.ndarray | pa.ChunkedArray, values: np.ndarray | pa.ChunkedArray):
+        spread, at = np.empty(len(keys), np.uint64), 0
+        for chunk in getattr(keys, "chunks", [keys]):  # a chunk at a time, since the group stands in memory already
+            np.multiply(np.asarray(chunk).view(np.uint64), SPREAD, out=spread[at : at + len(chunk)])
+            at += len(chunk)
+        order = np.argsort(spread)
+        self.keys = spread[order]
+        del spread
+        self.values = np.asarray(values)[order]
+        del order
         bits = max(1, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.starts = np.empty(1 << bits, np.int32)
+        for low in range(0, 1 << bits, SEGMENT):
+            first = np.arange(low, min(low + SEGMENT, 1 << bits), dtype=np.uint64) << self.shift
+            self.starts[low : low + SEGMENT] = np.searchsorted(self.keys, first)
 
     def of(self, wanted: np.ndarray) -> np.ndarray:
         """Values of keys that are all there."""
@@ -274,7 +281,7 @@ def score_documents(docs: DataFrame, trained: F.Column, id_col: str = "doc_id",
 
     def score(blocks: pa.Table, table: pa.Table) -> pa.Table:
         with released():
-            return block_scores(blocks, Values(table.column("key").to_numpy().view(np.uint64), table.column("value").to_numpy()))
+            return block_scores(blocks, Values(table.column("key"), table.column("value")))
 
     def block_scores(blocks: pa.Table, found: Values) -> pa.Table:
         return pa.Table.from_batches([scored(x, found) for content in blocks.column("content") for x in _documents(content)])
