@@ -106,7 +106,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of one bucket that lie in different components of the first round.
+    """Components (a, b) of the first round, by their roots, between which nodes of one bucket are linked.
 
     Both nodes were compared with their bucket's hub H. Let D(A) be the symmetric difference of A
     and H; then A and B differ by as much as D(A) and D(B) do. Linked sets differ by at most
@@ -157,11 +157,12 @@ def _between(held: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -
         & F.when(F.col("near"), F.col("long_a")).otherwise(F.col("short_a") & (F.col("a") < F.col("b")))
     )
     met = met.select("hub", "a", "b").distinct()
-    of = lambda x: apart.select("hub", F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
+    of = lambda x: apart.select("hub", F.col("nid").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
     compared = met.join(of("a"), ["hub", "a"]).join(of("b"), ["hub", "b"])
     gap = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
     total = F.col("n_a") + F.col("n_b")
-    found = compared.select("a", "b", total.alias("total"), gap.alias("gap")).where((F.col("total") - F.col("gap")) * 100 >= (F.col("total") + F.col("gap")) * percent)
+    found = compared.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"), total.alias("total"), gap.alias("gap"))
+    found = found.where((F.col("total") - F.col("gap")) * 100 >= (F.col("total") + F.col("gap")) * percent)
     found = materialize(found.select("a", "b").distinct(), "links")
     for done in (rooted, apart, often, entries):
         discard(done)
@@ -209,8 +210,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
 
     discard(held)
     discard(sets)
-    roots = components(links.unionByName(more))
-    ids = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("node", "rep", F.coalesce("root", "nid").alias("root"))
+    joined = components(more).select(F.col("node").alias("own"), "root")  # of components, not of nodes: few where the hubs found most
+    owned = nodes.join(first.select(F.col("node").alias("nid"), F.col("root").alias("own")), "nid", "left").select("node", "rep", F.coalesce("own", "nid").alias("own"))
+    ids = owned.join(joined, "own", "left").select("node", "rep", F.coalesce("root", "own").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(ids.join(lowest, "root").select("node", "component_id"), "components")
     for done in (nodes, links, more):
