@@ -24,15 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+#: Spark then deletes the shuffle files of a query when it ends, not when the driver's memory is cleaned.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, once: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back. once: its shuffle files go right after that.
 
     The table replaces the lineage above it, so a lost executor costs a re-read instead of the
     whole chain, and a value made from partition numbers (row ids, names) stays what it was.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if once:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if once:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import struct
@@ -296,6 +297,28 @@ def test_embeddings(spark):
     assert embed.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_table_by_table_write_no_more_than_a_few_times_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(900, 32))
+    vectors = (centres[np.arange(3000) % 900] + rng.normal(size=(3000, 32)) * 0.25).astype(np.float32)
+    units = vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = units @ units.T >= 0.9
+    written, real = [], embed.materialize
+
+    def spied(df, *args, **kwargs):
+        table = real(df, *args, **kwargs)
+        written.append(sum(os.path.getsize(name.removeprefix("file://")) for name in table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(embed, "materialize", spied)
+    monkeypatch.setattr(embed, "ROUND_BYTES", 1, raising=False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_embeddings(df).collect()}
+    found, wanted = sum(got.values()), int(near.sum()) - 3000
+    assert all(got[i] <= near[i].sum() - 1 for i in got) and 0.99 * wanted < found <= wanted
+    assert max(written) < 3 * vectors.nbytes
+
+
 def test_base_spans_are_those_of_the_patterns():
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     rng = random.Random(1)
